@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import judge
 from .suffix_dedup import remove_repeats
 
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -29,7 +34,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_best_fit_packing, op6_suffix_array_dedup, op10_minhash_near_dedup,)
+    found = (op2_quality_rules, op3_best_fit_packing, op6_suffix_array_dedup, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
