@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import with_leaks
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
@@ -25,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
 
@@ -34,7 +39,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_best_fit_packing, op6_suffix_array_dedup, op10_minhash_near_dedup,)
+    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
