@@ -215,3 +215,14 @@ def _confirmed(docs: DataFrame, groups: DataFrame, clusters: DataFrame, shingle:
     if rest.limit(1).count() == 0:
         return first
     return materialize(first.unionByName(against_all(rest)), "links")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: one for each component, and those without an id; columns as they are."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, percent)
+    gone = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti")
+    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if again:
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left.select(*docs.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import with_leaks
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import find_private
 from .quality import judge
 from .suffix_dedup import remove_repeats
 
@@ -34,12 +35,16 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
 
 
+def op7_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op10_minhash_near_dedup,)
+    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op7_pii_sanitisation, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
