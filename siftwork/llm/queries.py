@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, url_filter
 from .decontaminate import with_leaks
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -39,14 +40,23 @@ def op7_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(url_filter.sample_captures(pages), url_filter.sample_events(pages))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op7_pii_sanitisation, op10_minhash_near_dedup,)
+    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": url_filter.ORACLE, "op9_license_scans": licenses.oracle()}
