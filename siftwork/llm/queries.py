@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, url_filter
+from . import licenses, secret_scan, url_filter
 from .decontaminate import with_leaks
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -32,6 +32,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return with_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"), model)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
 
@@ -54,7 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
+    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
