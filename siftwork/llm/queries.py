@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, secret_scan, url_filter
+from . import html_extract, licenses, secret_scan, url_filter
 from .decontaminate import with_leaks
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"), html_extract.train(spark))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -59,7 +63,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
+    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
     return {f.__name__: f for f in found}
 
 
