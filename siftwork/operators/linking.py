@@ -24,11 +24,12 @@ def link_letters(docs: DataFrame) -> DataFrame:
     Rules in order: mail address, name, capture, file stem; of several hits the one for the same tag, then the latest, then the least id.
     """
     sound = docs.where("error is null") if "error" in docs.columns else docs
+    rule = lambda number, how, key: F.struct(F.lit(number).alias("rule"), F.lit(how).alias("how"), F.nullif(key, F.lit("")).alias("key"))
     keys = F.array(
-        F.struct(F.lit(1).alias("rule"), F.lit("email").alias("how"), F.nullif(F.lower(F.trim("email")), F.lit("")).alias("key")),
-        F.struct(F.lit(2), F.lit("name"), F.nullif(norm(F.col("name")), F.lit(""))),
-        F.struct(F.lit(3), F.lit("capture"), F.nullif(F.col("capture_id"), F.lit(""))),
-        F.struct(F.lit(4), F.lit("file"), bind(file_stem(F.col("file_name")), lambda s: F.when(F.length(s) > 2, s))),
+        rule(1, "email", F.lower(F.trim("email"))),
+        rule(2, "name", norm(F.col("name"))),
+        rule(3, "capture", F.col("capture_id")),
+        rule(4, "file", bind(file_stem(F.col("file_name")), lambda s: F.when(F.length(s) > 2, s))),
     )
     keyed = sound.select("id", "kind", "tag", "added_at", F.explode(keys).alias("k")).select("id", "kind", "tag", "added_at", "k.*").where("key is not null")
     letters = keyed.where("kind = 'letter'").select(F.col("id").alias("letter_id"), F.col("tag").alias("letter_tag"), "rule", "how", "key")

@@ -248,20 +248,20 @@ def title_similarities(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.round(both, 9).alias("similarity"))
 
 
-@_query("""with l as (select doc_id, source, lang from documents where doc_id % 5 = 0), c as (select doc_id, source, lang, n_chars from documents where doc_id % 5 <> 0),
+@_query("""with l as (select doc_id, source, lang from documents where doc_id % 3 = 0), c as (select doc_id, source, lang, n_chars from documents where doc_id % 3 <> 0),
 r as (select l.doc_id as letter_id, c.doc_id as cv_id, row_number() over (partition by l.doc_id order by case when c.lang = l.lang then 0 else 1 end, c.n_chars desc, c.doc_id) as n from l join c using (source))
 select letter_id, cv_id, 'name' as how from r where n = 1""")
 def linked_letters(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     none = F.lit("")
-    docs = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "letter").otherwise("cv").alias("kind"), none.alias("email"), F.col("source").alias("name"), none.alias("capture_id"), none.alias("file_name"), F.col("lang").alias("tag"), F.col("n_chars").alias("added_at"))
+    docs = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "letter").otherwise("cv").alias("kind"), none.alias("email"), F.col("source").alias("name"), none.alias("capture_id"), none.alias("file_name"), F.col("lang").alias("tag"), F.col("n_chars").alias("added_at"))
     return linking.link_letters(docs)
 
 
 @_query("""with s as (select user_id, epoch_us(ts) // 60000000 as a, epoch_us(ts) // 60000000 + 30 + event_id % 90 as b from events), r as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as p from s)
 select user_id, sum(greatest(b - greatest(a, coalesce(p, a)), 0))::bigint as covered, count(*) filter (p is null or a > p) as n_islands from r group by user_id""")
 def covered_minutes(spark, sf_dir):
-    minutes = F.floor(F.unix_micros("ts") / 60_000_000)
+    minutes = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
     spans = _table(spark, sf_dir, "events").select("user_id", minutes.alias("a"), (minutes + 30 + F.col("event_id") % 90).alias("b"))
     return union_length(spans, "user_id", "a", "b")
 

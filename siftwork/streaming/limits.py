@@ -28,7 +28,7 @@ def rate_limited(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
     A caller is scanned in time order with at most ``limit`` times in memory: rows arrive sorted and stream through, so no caller is
     collected whole.
     """
-    rows = calls.select("caller", "call_id", F.unix_micros("ts").alias("us")).repartition("caller").sortWithinPartitions("caller", "us", "call_id")
+    rows = calls.select("caller", "call_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).repartition("caller").sortWithinPartitions("caller", "us", "call_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caller, recent = None, []
