@@ -177,7 +177,7 @@ NUMBER_WORDS = {
 TITLE_NOISE = _listed("the, a, an, and, of, for, at, in, to, with, de, het, een, en, van, voor, bij, als, naar, op, in, m, v, x, h, f, mv, parttime, fulltime, part, full, time, uur, hours, per, week, position, role, vacancy, job, functie, vacature, positie, baan, nl, amp")
 
 # Named character references that are decoded.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "euro": "€", "eacute": "é", "euml": "ë", "iuml": "ï", "ouml": "ö", "uuml": "ü", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•", "amp": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "euro": "€", "eacute": "é", "euml": "ë", "iuml": "ï", "ouml": "ö", "uuml": "ü", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•", "amp": "&"}
 
 # Word endings, in the order they are tried.
 ENDINGS = _listed("ments, ment, ers, ing, es, er, ed, en, s")

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import html_to_text
 
@@ -29,7 +30,7 @@ def file_kind(name: Column, mime: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_text(content: pd.Series) -> pd.Series:
     """Paragraphs of a DOCX file; null if it cannot be read. Zip and XML have no built-in function."""
 

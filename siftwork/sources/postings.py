@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import clean, decoded, found, html_to_text
 
@@ -145,7 +146,10 @@ def _structured(raw: str, base: str) -> list[tuple]:
     return jobs + links
 
 
-@F.pandas_udf("array<struct<kind:string,title:string,company:string,location:string,url:string,posted:string,html:string>>")
+_ROW = StructType([StructField(c, StringType()) for c in ("kind", "title", "company", "location", "url", "posted", "html")])
+
+
+@F.pandas_udf(ArrayType(_ROW))
 def structured_data(raw: pd.Series, base: pd.Series) -> pd.Series:
     """Job postings and listed links of a JSON-LD script; its nesting has no bound, so a small function walks it."""
     return pd.Series([[dict(zip(("kind", "title", "company", "location", "url", "posted", "html"), row, strict=True)) for row in _structured(r or "", b or "")] for r, b in zip(raw, base, strict=True)])
