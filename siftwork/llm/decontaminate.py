@@ -10,7 +10,7 @@ mapping most windows agree on are dropped.  A text holds an item if at least
 copies are caught and chance overlaps are not.
 
 Defined cases: null or empty texts and items give no windows; an item shorter
-than ``size`` words is one window; windows of placeholders alone do not count;
+than ``size`` words is too short to prove a leak and matches nothing; windows of placeholders alone do not count;
 repeated rows give one result; a null doc_id or item_id is carried through;
 extra columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, materialize, signed, sized_broadcast, windows
+from .shared import byte_texts, materialize, signed, sized_broadcast, small_batches, windows
 
 #: Units that become a placeholder (fixed values).
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs % $ € £ usd eur gbp dollar dollars euro euros pound pounds cent cents inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years degree degrees percent".split())
 #: Benchmark windows up to this number are looked up inside the scan; more are joined by shuffle.
 LOOKUP = 4_000_000
 #: Distinct words a worker remembers.
-MEMORY = 500_000
+MEMORY = 100_000
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _STOP = re.compile(r"[.!?:][^\w]*$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*%?$")
@@ -157,6 +157,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     """row_key (xxhash64 of doc_id and text), item_id, n_windows, coverage, reparameterised for each text that holds an item."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.mapInArrow(_windowed(size, None, "item_id"), "item_id long, window long, at int, slots array<string>, n_words int")
     items = materialize(items.select("window", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words")).distinct(), "items")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .html_training import Maker
 from .html_tree import Page, decode, features, main_text
+from .shared import small_batches
 
 #: Generated pages for training; a bound on the sample, not on the data.
 TRAINED = 1200
@@ -101,6 +102,7 @@ def extract(html: str, trees: Trees) -> str:
 
 def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import byte_texts, lower_ascii, materialize, mix, signed, sized_broadcast, windows, word_hashes
+from .shared import byte_texts, lower_ascii, materialize, mix, signed, sized_broadcast, small_batches, windows, word_hashes
 
 BINS = 256
 #: A band scheme may miss a pair at the threshold with this probability at most.
@@ -149,6 +149,7 @@ def _compare(size: int, percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = docs.mapInArrow(_sketch(shingle, band_rows(percent / 100)), "doc_id long, n_shingles long, n_bytes long, set_key binary, bands array<long>")
     sketched = materialize(sketched, "sketches")

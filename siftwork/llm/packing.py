@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 #: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 100_000, 48
 #: Pieces of one length are ranked in buckets of about this many.
 RANKED = 50_000
 
@@ -209,6 +209,7 @@ def packing_steps(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # Repeated rows share a bucket and are told apart by the rank alone, so any order among them serves.

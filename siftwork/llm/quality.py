@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, prefix_hashes, span_hashes, windows, word_bounds
+from .shared import byte_texts, prefix_hashes, small_batches, span_hashes, windows, word_bounds
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -113,12 +113,14 @@ _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def judge(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3, cleaned: bool = False) -> DataFrame:
     """Counts and verdict for each row of docs(doc_id, text); with ``cleaned`` also the text without its failing lines."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(lambda b: _judged(b, min_words, max_repeat, max_loss, cleaned), _SCHEMA)
 
 
 def keep_good(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3) -> DataFrame:
     """The rows of docs whose text passes, columns as they are; a filter in one pass, without a join."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

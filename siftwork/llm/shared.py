@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
+#: Rows of an Arrow batch at most; whole texts travel in one, in the JVM and in Python.
+BATCH_ROWS = 500
 #: Broadcast sides may hold at most this many bytes; larger sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -111,6 +113,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints").rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, so a task's memory does not hold thousands of texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: a lineage cut that outlives lost executors."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, materialize, mix, prefix_hashes, signed, sized_broadcast, span_hashes
+from .shared import byte_texts, materialize, mix, prefix_hashes, signed, sized_broadcast, small_batches, span_hashes
 
 GRAM = 64
 #: Positions inside a stretch take the low bits of a key; longer texts are sampled in stretches.
@@ -229,6 +229,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     spans = materialize(repeated_spans(docs.select("row_key", "text"), length).groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
