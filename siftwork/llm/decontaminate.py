@@ -35,7 +35,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h h
 #: Benchmark windows up to this number are looked up inside the scan; more are joined by shuffle.
 LOOKUP = 4_000_000
 #: Distinct words a worker remembers.
-MEMORY = 100_000
+MEMORY = 300_000
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _STOP = re.compile(r"[.!?:][^\w]*$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*%?$")
@@ -50,37 +50,42 @@ _PLACEHOLDERS = np.array(sorted(map(_hash, (NUM, UNIT, NAME))), np.uint64)
 
 
 class _Templates(dict):
-    """Word bytes -> row of: hash after a sentence end, hash inside a sentence, ends a sentence, counts as a word."""
+    """Word bytes -> 4 * row + 2 if it ends a sentence + 1 if it counts as a word; a row: hash after a sentence end, hash inside a sentence."""
 
     def __init__(self):
         self.rows = np.zeros((1 << 16, 2), np.uint64)
-        self.flags = np.zeros((1 << 16, 2), bool)
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
-        bare = _EDGE.sub("", word).rstrip("_")
-        bare = bare if bare in ("$", "€", "£", "%") else bare.strip("$€£%_") if not _NUMBER.match(bare) else bare
-        low = bare.lower()
-        plain = NUM if _NUMBER.match(low) else UNIT if low in UNITS else low
-        inside = NAME if plain == low and bare[:1].isupper() and bare[1:].islower() else plain
+        if raw.isalpha() and raw.islower():
+            # Most words: nothing to strip, no number, no name, no sentence end.
+            plain = inside = UNIT if word in UNITS else word
+            marks = 1
+        else:
+            bare = _EDGE.sub("", word).rstrip("_")
+            bare = bare if bare in ("$", "€", "£", "%") else bare.strip("$€£%_") if not _NUMBER.match(bare) else bare
+            low = bare.lower()
+            plain = NUM if _NUMBER.match(low) else UNIT if low in UNITS else low
+            inside = NAME if plain == low and bare[:1].isupper() and bare[1:].islower() else plain
+            marks = 2 * bool(_STOP.search(word)) + bool(low)
         i = len(self)
         if i == len(self.rows):
-            self.rows, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.rows, self.flags))
-        self.rows[i] = _hash(plain), _hash(inside)
-        self.flags[i] = bool(_STOP.search(word)), bool(low)
-        self[raw] = i
-        return i
-
-    def words(self, data: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Template hashes of a text, and its words, both without words that are punctuation alone."""
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[i, 0] = first = _hash(plain)
+        self.rows[i, 1] = first if inside is plain else _hash(inside)
+        self[raw] = found = 4 * i + marks
+        return found
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Template hashes of a text's words that are not punctuation alone, and which words those are."""
         if len(self) > MEMORY:
             self.clear()
         raw = data.split()
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        ends, counts = self.flags[at].T
-        inside = np.zeros(len(at), bool)
-        inside[1:] = ~ends[:-1]
-        hashes = self.rows[at, inside.astype(np.int64)]
+        counts = (at & 1).astype(bool)
+        inside = np.zeros(len(at), np.int64)
+        inside[1:] = (at[:-1] & 2) == 0
+        hashes = self.rows[at >> 2, inside]
         return hashes[counts], counts
 
 
