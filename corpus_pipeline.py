@@ -14,13 +14,13 @@ from siftwork.llm.decontaminate import without_leaks
 from siftwork.llm.near_dedup import one_of_each
 from siftwork.llm.packing import pack
 from siftwork.llm.pii import sanitise
-from siftwork.llm.quality import keep_good
+from siftwork.llm.quality import clean
 from siftwork.llm.shared import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line rules reject go."""
-    return keep_good(docs)
+    """Documents that the base rules or the line rules reject go; the others lose their failing lines."""
+    return clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

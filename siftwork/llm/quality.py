@@ -10,7 +10,8 @@ windows that occur twice in the text.
 
 Defined cases: null or empty texts have no words and fail; lines without words
 count for nothing; repeated rows get equal verdicts; a null doc_id is carried
-through; extra columns are ignored by ``judge`` and kept by ``clean``.
+through; lines without words stay where they are; extra columns are ignored by
+``judge`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def line_fails(line: str, max_symbols: float = 0.1) -> str:
 
 def _judged(batches: Iterator[pa.RecordBatch], min_words: int, max_repeat: int, max_loss: float, cleaned: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "clean_text")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "lost_lines", "clean_text")}
         for data in byte_texts(batch.column("text")):
             start, end = word_bounds(data)
             n = len(start)
@@ -82,17 +84,19 @@ def _judged(batches: Iterator[pa.RecordBatch], min_words: int, max_repeat: int,
             repeat = int((np.cumsum(covered)[:n] > 0).sum())
             text = data.tobytes().decode()
             lines = text.split("\n")
-            seen, dup, lost, kept_lines = set(), 0, 0, []
+            seen, dup, lost, lost_lines, kept_lines = set(), 0, 0, 0, []
             for line in lines:
                 size = len(line.encode().split())
                 if not size:
+                    kept_lines.append(line)
                     continue
                 if line in seen:
                     dup += 1
                 seen.add(line)
                 if line_fails(line):
                     lost += size
-                elif cleaned:
+                    lost_lines += 1
+                else:
                     kept_lines.append(line)
             failed = n < min_words or 100 * repeat > max_repeat * n
             out["n_words"].append(n)
@@ -103,12 +107,13 @@ def _judged(batches: Iterator[pa.RecordBatch], min_words: int, max_repeat: int,
             out["base_failed"].append(failed)
             out["kept"].append(not failed and lost <= max_loss * n)
             out["lost_words"].append(lost)
+            out["lost_lines"].append(lost_lines)
             out["clean_text"].append("\n".join(kept_lines) if cleaned else None)
         kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "clean_text": pa.string()}
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["doc_id", *out])
 
 
-_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long, clean_text string"
+_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long, lost_lines long, clean_text string"
 
 
 def judge(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3, cleaned: bool = False) -> DataFrame:
@@ -118,15 +123,30 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss:
     return docs.mapInArrow(lambda b: _judged(b, min_words, max_repeat, max_loss, cleaned), _SCHEMA)
 
 
-def keep_good(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3) -> DataFrame:
-    """The rows of docs whose text passes, columns as they are; a filter in one pass, without a join."""
+def _passing(docs: DataFrame, min_words: int, max_repeat: int, max_loss: float, cleaned: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))] * 2, names=["doc_id", "text"])
-            for judged in _judged(iter([texts]), min_words, max_repeat, max_loss, False):
-                yield batch.filter(judged.column("kept"))
+            names = batch.schema.names
+            texts = pa.RecordBatch.from_arrays([batch.column(names.index("text"))] * 2, names=["doc_id", "text"])
+            for judged in _judged(iter([texts]), min_words, max_repeat, max_loss, cleaned):
+                columns = list(batch.columns)
+                if cleaned:
+                    text = judged.column("clean_text")
+                    new = {"text": text, "n_chars": pc.utf8_length(text)}
+                    columns = [new[n].cast(c.type) if n in new else c for n, c in zip(names, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(judged.column("kept"))
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3) -> DataFrame:
+    """The rows of docs whose text passes, columns as they are; a filter in one pass, without a join."""
+    return _passing(docs, min_words, max_repeat, max_loss, False)
+
+
+def clean(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_loss: float = 0.3) -> DataFrame:
+    """The rows of docs whose text passes, text without its failing lines, n_chars counted anew; other columns as they are."""
+    return _passing(docs, min_words, max_repeat, max_loss, True)

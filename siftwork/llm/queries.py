@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_extract, licenses, secret_scan, url_filter
 from .decontaminate import with_leaks
@@ -25,7 +26,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_table(spark, sf_dir, "documents")).drop("clean_text")
+    judged = judge(_table(spark, sf_dir, "documents"), cleaned=True)
+    return judged.select("*", (F.col("n_words") - F.col("lost_words")).alias("clean_words"), F.sha2("clean_text", 256).alias("clean_sha256")).drop("clean_text")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

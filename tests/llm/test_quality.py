@@ -1,4 +1,7 @@
-from siftwork.llm import quality
+import hashlib
+
+import corpus_pipeline
+from siftwork.llm import queries, quality
 
 
 def test_counts_and_edges(odd_docs, odd_rows, no_docs):
@@ -29,3 +32,18 @@ def test_repeats(spark):
     row = quality.judge(spark.createDataFrame([(1, text), (2, "a\na\nb")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert row[0].n_repeat_words == 18 and row[0].base_failed
     assert row[1].n_dup_lines == 1
+
+
+def test_failing_lines_leave(spark, tmp_path):
+    """The stage of the pipeline removes the failing lines, and op2 shows what it removed."""
+    good = [" ".join(f"é{i}word{k}" for k in range(14)) + "." for i in range(4)]
+    text = "\n".join([good[0], "Home | News | Sport | About | Contact", good[1], "", good[2], "Skip to main content", good[3]])
+    left = "\n".join([good[0], good[1], "", good[2], good[3]])
+    docs = spark.createDataFrame([(1, text, "en", len(text)), (2, left, "en", len(left)), (3, "Home | News | Sport | About\n" * 9, "en", 1), (4, None, "en", 0)], "doc_id long, text string, lang string, n_chars int")
+    found = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(tuple, found.collect())) == [(1, left, "en", len(left)), (2, left, "en", len(left))]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shown = {r.doc_id: r for r in queries.op2_quality_rules(spark, str(tmp_path)).collect()}
+    assert shown[1].clean_sha256 == shown[2].clean_sha256 == hashlib.sha256(left.encode()).hexdigest()
+    assert (shown[1].lost_lines, shown[1].clean_words, shown[2].lost_lines) == (2, len(left.split()), 0)
