@@ -3,14 +3,15 @@
 Words are stripped of punctuation at their edges and lower-cased; numbers,
 units and names (capitalised inside a sentence) become typed placeholders.
 Windows of ``size`` template words of the texts are hash-joined with those of
-the benchmark.  A matched window keeps its slot values on both sides, and an
-item's slot must map to one value in a text: windows that contradict the
-mapping most windows agree on are dropped.  A text holds an item if at least
-``share`` of the item's words lie in consistent windows, so re-parameterised
-copies are caught and chance overlaps are not.
+the benchmark; a window of placeholders alone goes by its raw values.  A matched
+window keeps its slot values on both sides, and an item's slot must map to one
+value in an occurrence: windows that contradict the mapping most windows agree
+on are dropped.  A text holds an item if at least ``share`` of the item's words
+lie in consistent windows, so re-parameterised copies are caught and chance
+overlaps are not.
 
 Defined cases: null or empty texts and items give no windows; an item shorter
-than ``size`` words is too short to prove a leak and matches nothing; windows of placeholders alone do not count;
+than ``size`` words is too short to prove a leak and matches nothing;
 repeated rows give one result; a null doc_id or item_id is carried through;
 extra columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
@@ -50,10 +51,10 @@ _PLACEHOLDERS = np.array(sorted(map(_hash, (NUM, UNIT, NAME))), np.uint64)
 
 
 class _Templates(dict):
-    """Word bytes -> 4 * row + 2 if it ends a sentence + 1 if it counts as a word; a row: hash after a sentence end, hash inside a sentence."""
+    """Word bytes -> 4 * row + 2 if it ends a sentence + 1 if it counts as a word; a row: hash after a sentence end, hash inside a sentence, hash of a placeholder's value."""
 
     def __init__(self):
-        self.rows = np.zeros((1 << 16, 2), np.uint64)
+        self.rows = np.zeros((1 << 16, 3), np.uint64)
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
@@ -73,11 +74,12 @@ class _Templates(dict):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[i, 0] = first = _hash(plain)
         self.rows[i, 1] = first if inside is plain else _hash(inside)
+        self.rows[i, 2] = _hash("\0=" + _EDGE.sub("", word).lower()) if inside in (NUM, UNIT, NAME) else 0
         self[raw] = found = 4 * i + marks
         return found
 
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Template hashes of a text's words that are not punctuation alone, and which words those are."""
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes of a text's words that are not punctuation alone, which words those are, and their rows."""
         if len(self) > MEMORY:
             self.clear()
         raw = data.split()
@@ -85,8 +87,8 @@ class _Templates(dict):
         counts = (at & 1).astype(bool)
         inside = np.zeros(len(at), np.int64)
         inside[1:] = (at[:-1] & 2) == 0
-        hashes = self.rows[at >> 2, inside]
-        return hashes[counts], counts
+        place = at >> 2
+        return self.rows[place, inside][counts], counts, place[counts]
 
 
 def _slots(template: np.ndarray, raw: list[bytes], at: int, size: int) -> list[str]:
@@ -94,63 +96,114 @@ def _slots(template: np.ndarray, raw: list[bytes], at: int, size: int) -> list[s
     return [f"{int(template[i]) & 0xFF:02x}{_EDGE.sub('', raw[i].decode()).lower()}" for i in range(at, min(at + size, len(template))) if template[i] in _PLACEHOLDERS]
 
 
-def _windowed(size: int, known: np.ndarray | None, key: str):
+def _named(template: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the windows, and which are of placeholders alone and so named by their values."""
+    found = windows(template, width)
+    slots = np.concatenate(([0], np.cumsum(np.isin(template, _PLACEHOLDERS))))
+    bare = slots[width:] - slots[:-width] == width
+    if bare.any():
+        found[bare] = windows(values, width)[bare]
+    return found, bare
+
+
+def _item_windows(size: int):
+    """All windows of each item."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Templates()
         for batch in batches:
-            rows, names, at_, slots, total = [], [], [], [], []
-            for row, data in enumerate(byte_texts(batch.column("text"))):
+            rows = []
+            for item, data in zip(batch.column("item_id").to_pylist(), byte_texts(batch.column("text")), strict=True):
                 body = data.tobytes()
-                template, counts = memory.words(body)
+                template, counts, place = memory.words(body)
                 n = len(template)
-                if not n:
-                    continue
-                width = min(size, n) if known is None else size
-                found = windows(template, width)
-                if known is not None and len(found):
-                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    hit = np.flatnonzero(known[place] == found)
-                else:
-                    hit = np.arange(len(found))
-                if not len(hit):
+                if n < size:
                     continue
-                literal = np.concatenate(([0], np.cumsum(~np.isin(template, _PLACEHOLDERS))))
-                hit = hit[literal[hit + width] - literal[hit] >= min(width, 2)]
+                width, values = size, memory.rows[place, 2]
                 raw = [w for w, c in zip(body.split(), counts, strict=True) if c]
-                rows += [row] * len(hit)
-                names.append(found[hit])
-                at_ += hit.tolist()
-                slots += [_slots(template, raw, i, width) for i in hit.tolist()]
-                total += [n] * len(hit)
+                found, bare = _named(template, values, width)
+                rows += [(item, name, at, _slots(template, raw, at, width), n, b) for at, (name, b) in enumerate(zip(signed(found).tolist(), bare.tolist(), strict=True))]
+            if rows:
+                kinds = [batch.column("item_id").type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "window", "item_at", "item_slots", "item_words", "bare"])
+
+    return run
+
+
+def _windowed(widths: list[int], bare: bool, known: np.ndarray | None):
+    """The windows of each text of the widths that items have, those in ``known`` if it is given; ``bare``: items have windows of placeholders alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Templates()
+        for batch in batches:
+            rows, names, at_, slots = [], [], [], []
+            for row, data in enumerate(byte_texts(batch.column("text"))):
+                body = data.tobytes()
+                template, counts, place = memory.words(body)
+                raw = None
+                for width in widths:
+                    if width > len(template):
+                        continue
+                    found = _named(template, memory.rows[place, 2], width)[0] if bare else windows(template, width)
+                    if known is None:
+                        hit = np.arange(len(found))
+                    else:
+                        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found)
+                    if not len(hit):
+                        continue
+                    raw = raw or [w for w, c in zip(body.split(), counts, strict=True) if c]
+                    rows += [row] * len(hit)
+                    names.append(found[hit])
+                    at_ += hit.tolist()
+                    slots += [_slots(template, raw, i, width) for i in hit.tolist()]
             if rows:
-                take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).take(take), pa.array(signed(np.concatenate(names))), pa.array(at_, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
-                    names=[key, "window", "at", "slots", "n_words"],
+                    [batch.column("row_key").take(pa.array(rows)), pa.array(signed(np.concatenate(names))), pa.array(at_, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
+                    names=["row_key", "window", "at", "slots"],
                 )
 
     return run
 
 
 def _consistent(size: int, share: float):
-    """One text and one item: their matched windows, at most a text's length of them."""
+    """One text and one item: their matched windows, judged over the whole text and round each alignment, the best of which counts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        votes: dict[str, Counter] = defaultdict(Counter)
         pairs = [list(zip(a, b, strict=False)) for a, b in zip(group["item_slots"], group["slots"], strict=True)]
-        for p in pairs:
-            for a, b in p:
-                votes[a][b] += 1
-        agreed = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-        keep = [all(agreed[a] == b for a, b in p) for p in pairs]
-        n = int(group["item_words"].iloc[0])
-        covered: set[int] = set()
-        for at in group["item_at"][keep]:
-            covered.update(range(at, min(at + size, n)))
-        if len(covered) < share * n:
+        n, item_at = int(group["item_words"].iloc[0]), group["item_at"].tolist()
+
+        def covered(which) -> int:
+            return len({i for at in {item_at[w] for w in which} for i in range(at, min(at + size, n))})
+
+        def agreed(which, already: dict) -> dict:
+            votes: dict[str, Counter] = defaultdict(Counter)
+            for w in which:
+                for a, b in pairs[w]:
+                    if a not in already:
+                        votes[a][b] += 1
+            return already | {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+
+        def judged(first, among) -> tuple[int, bool, int]:
+            """Words covered, whether no slot is changed, and the windows that agree: slots go by ``first``, those it lacks by the rest."""
+            map_ = agreed(first, {})
+            map_ = agreed([w for w in among if all(map_.get(a, b) == b for a, b in pairs[w])], map_)
+            keep = [w for w in among if all(map_[a] == b if a in map_ else False for a, b in pairs[w])]
+            return covered(keep), all(a == b for w in keep for a, b in pairs[w]), len(keep)
+
+        whole = range(len(pairs))
+        if covered(whole) < share * n:
+            return pd.DataFrame()
+        best = judged(whole, whole)
+        offsets = group["at"].to_numpy() - group["item_at"].to_numpy()
+        if best[:2] != (n, True) and offsets.min() != offsets.max():
+            order = np.argsort(offsets, kind="stable")
+            placed = offsets[order]
+            for o in np.unique(offsets).tolist():
+                cut = np.searchsorted(placed, [o - n, o, o + 1, o + n + 1])
+                best = max(best, judged(order[cut[1] : cut[2]].tolist(), order[cut[0] : cut[3]].tolist()))
+        if best[0] < share * n:
             return pd.DataFrame()
-        changed = any(a != b for p, k in zip(pairs, keep, strict=True) if k for a, b in p)
-        return pd.DataFrame({"row_key": [group["row_key"].iloc[0]], "item_id": [group["item_id"].iloc[0]], "n_windows": [int(sum(keep))], "coverage": [len(covered) / n], "reparameterised": [changed]}).astype({"item_id": "Int64"})
+        return pd.DataFrame({"row_key": [group["row_key"].iloc[0]], "item_id": [group["item_id"].iloc[0]], "n_windows": [best[2]], "coverage": [best[0] / n], "reparameterised": [not best[1]]}).astype({"item_id": "Int64"})
 
     return run
 
@@ -164,15 +217,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.mapInArrow(_windowed(size, None, "item_id"), "item_id long, window long, at int, slots array<string>, n_words int")
-    items = materialize(items.select("window", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words")).distinct(), "items")
+    items = items.mapInArrow(_item_windows(size), "item_id long, window long, item_at int, item_slots array<string>, item_words int, bare boolean")
+    items = materialize(items.distinct(), "items")
     names = items.select("window").distinct().limit(LOOKUP + 1)
     known = np.sort(np.array([r[0] for r in names.collect()], np.int64).view(np.uint64)) if names.count() <= LOOKUP else None
-    if known is not None and len(known) == 0:
+    if items.limit(1).count() == 0:
         return spark.createDataFrame([], "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
     texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(F.col("_row_key").alias("row_key"), "text")
-    hits = texts.mapInArrow(_windowed(size, known, "row_key"), "row_key long, window long, at int, slots array<string>, n_words int").drop("n_words")
-    pairs = hits.join(sized_broadcast(items, 120), "window").where(F.size("slots") == F.size("item_slots"))
+    has = items.agg(F.max("bare").alias("bare")).first()
+    hits = texts.mapInArrow(_windowed([size], bool(has.bare), known), "row_key long, window long, at int, slots array<string>")
+    pairs = hits.join(sized_broadcast(items.drop("bare"), 120), "window").where(F.size("slots") == F.size("item_slots"))
     return pairs.groupBy("row_key", "item_id").applyInPandas(_consistent(size, share), "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
 
 

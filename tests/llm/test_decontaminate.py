@@ -53,3 +53,23 @@ def test_empty(spark, no_docs, odd_docs, benchmark):
     assert dc.with_leaks(no_docs, benchmark).count() == 0
     assert dc.with_leaks(odd_docs, benchmark.where("false")).count() == 0
     assert dc.without_leaks(odd_docs, benchmark).count() == odd_docs.count()
+
+
+def _held(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.item_id, r.reparameterised) for r in dc.with_leaks(docs, bench).collect())
+
+
+def test_items_rich_in_numbers_and_names(spark):
+    """Windows with one literal word count, and those with none by their values."""
+    items = ["Compute 12 7 3 5 2", "12 7 3 55 2 9 11 4"]
+    texts = ["now Compute 12 7 3 5 2 and stop", "row 12 7 3 55 2 9 11 4 is here", "row 13 8 4 56 3 10 12 5 is here"]
+    assert _held(spark, items, texts) == [(0, 0, False), (1, 1, False)]
+
+
+def test_two_variants_in_one_text(spark):
+    """Slots are mapped by occurrence, so a worksheet of variants is a leak."""
+    item = "What is 7 plus 5 minus 3 times 4 over 2 in all"
+    put = lambda *v: item.replace("7", v[0]).replace("5", v[1]).replace("3", v[2]).replace("4", v[3]).replace("over 2", f"over {v[4]}")
+    assert _held(spark, [item], [f"{put('1', '9', '1', '9', '1')}. Next one. {put('9', '1', '9', '1', '9')}."]) == [(0, 0, True)]
