@@ -11,7 +11,7 @@ lie in consistent windows, so re-parameterised copies are caught and chance
 overlaps are not.
 
 Defined cases: null or empty texts and items give no windows; an item shorter
-than ``size`` words is too short to prove a leak and matches nothing;
+than ``size`` words is one window of its own length; an item's first word may stand inside a sentence of the text if it is the same word;
 repeated rows give one result; a null doc_id or item_id is carried through;
 extra columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
@@ -107,7 +107,7 @@ def _named(template: np.ndarray, values: np.ndarray, width: int) -> tuple[np.nda
 
 
 def _item_windows(size: int):
-    """All windows of each item."""
+    """All windows of each item; the first one also with its first word as it reads elsewhere in a sentence (``fixed`` if that makes it a slot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Templates()
@@ -117,15 +117,21 @@ def _item_windows(size: int):
                 body = data.tobytes()
                 template, counts, place = memory.words(body)
                 n = len(template)
-                if n < size:
+                if not n:
                     continue
-                width, values = size, memory.rows[place, 2]
+                width, values = min(size, n), memory.rows[place, 2]
                 raw = [w for w, c in zip(body.split(), counts, strict=True) if c]
                 found, bare = _named(template, values, width)
-                rows += [(item, name, at, _slots(template, raw, at, width), n, b) for at, (name, b) in enumerate(zip(signed(found).tolist(), bare.tolist(), strict=True))]
+                rows += [(item, name, at, _slots(template, raw, at, width), n, False, b) for at, (name, b) in enumerate(zip(signed(found).tolist(), bare.tolist(), strict=True))]
+                start, inside = memory.rows[place[0], :2]
+                if start != inside:
+                    other = template[:width].copy()
+                    other[0] = inside if template[0] == start else start
+                    found, bare = _named(other, values[:width], width)
+                    rows.append((item, signed(found).tolist()[0], 0, _slots(other, raw, 0, width), n, bool(np.isin(other[0], _PLACEHOLDERS)), bool(bare[0])))
             if rows:
-                kinds = [batch.column("item_id").type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "window", "item_at", "item_slots", "item_words", "bare"])
+                kinds = [batch.column("item_id").type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "window", "item_at", "item_slots", "item_words", "fixed", "bare"])
 
     return run
 
@@ -217,16 +223,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.mapInArrow(_item_windows(size), "item_id long, window long, item_at int, item_slots array<string>, item_words int, bare boolean")
+    items = items.mapInArrow(_item_windows(size), "item_id long, window long, item_at int, item_slots array<string>, item_words int, fixed boolean, bare boolean")
     items = materialize(items.distinct(), "items")
     names = items.select("window").distinct().limit(LOOKUP + 1)
     known = np.sort(np.array([r[0] for r in names.collect()], np.int64).view(np.uint64)) if names.count() <= LOOKUP else None
     if items.limit(1).count() == 0:
         return spark.createDataFrame([], "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
     texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(F.col("_row_key").alias("row_key"), "text")
-    has = items.agg(F.max("bare").alias("bare")).first()
-    hits = texts.mapInArrow(_windowed([size], bool(has.bare), known), "row_key long, window long, at int, slots array<string>")
+    has = items.agg(F.collect_set(F.least("item_words", F.lit(size))).alias("widths"), F.max("bare").alias("bare")).first()
+    hits = texts.mapInArrow(_windowed(sorted(has.widths), bool(has.bare), known), "row_key long, window long, at int, slots array<string>")
     pairs = hits.join(sized_broadcast(items.drop("bare"), 120), "window").where(F.size("slots") == F.size("item_slots"))
+    pairs = pairs.where(~F.col("fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))).drop("fixed")
     return pairs.groupBy("row_key", "item_id").applyInPandas(_consistent(size, share), "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
 
 

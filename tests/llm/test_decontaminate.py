@@ -73,3 +73,11 @@ def test_two_variants_in_one_text(spark):
     item = "What is 7 plus 5 minus 3 times 4 over 2 in all"
     put = lambda *v: item.replace("7", v[0]).replace("5", v[1]).replace("3", v[2]).replace("4", v[3]).replace("over 2", f"over {v[4]}")
     assert _held(spark, [item], [f"{put('1', '9', '1', '9', '1')}. Next one. {put('9', '1', '9', '1', '9')}."]) == [(0, 0, True)]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_short_texts_and_items_on_both_paths(spark, monkeypatch, limit):
+    monkeypatch.setattr(dc, "LOOKUP", limit)
+    items = ["Name three moons", "What is the blue thing"]
+    texts = ["name three moons", "please name three moons and stop there", "name three", "Question What is the blue thing", "Question Anna is the blue thing", "blue"]
+    assert _held(spark, items, texts) == [(0, 0, False), (1, 0, False), (3, 1, False)]
