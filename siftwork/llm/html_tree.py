@@ -11,6 +11,8 @@ import numpy as np
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp nobr wbr br img map area input picture source".split())
 UNSEEN = frozenset("head script style noscript template svg math iframe object select option textarea audio video canvas title".split())
+#: Tags that may stand in a head; any other one, or text, ends it (fixed values).
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: An opening tag of the key closes an open element of the value, up to the nearest of _SCOPES.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table div article section main body html td th blockquote form aside nav header footer".split())
@@ -59,6 +61,8 @@ class Page(HTMLParser):
                 self.blocks.append((self._open[-1][1], text))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop()
         if tag in VOID:
             if tag in ("br", "hr", "img", "input"):
                 self._text.append(" ")
@@ -82,7 +86,7 @@ class Page(HTMLParser):
             kinds = [0] * len(TOKENS)
             for name, value in attrs:
                 if value and name in ("class", "id", "role", "itemprop", "aria-label", "data-testid"):
-                    for word in _SPLIT.split(value[:400]):
+                    for word in _SPLIT.split(value):
                         k = _KIND.get(word.lower())
                         if k is not None:
                             kinds[k] = 1
@@ -130,10 +134,12 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        n = len(data.strip())
+        if n and self._open[-1][0] == "head":
+            self._pop()
         if self._unseen:
             return
         self._text.append(data)
-        n = len(data.strip())
         if n:
             c = self.counts[self._open[-1][1]]
             c[0] += n
