@@ -31,6 +31,8 @@ from .shared import small_batches
 #: Generated pages for training; a bound on the sample, not on the data.
 TRAINED = 1200
 ROUNDS, DEPTH = 24, 5
+#: Nodes that are scored together.
+NODES = 4000
 
 #: Boosted trees as arrays: feature, threshold, left, right, value; one row a tree.
 Trees = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -82,22 +84,43 @@ def train(spark: SparkSession, pages: int = TRAINED, first_seed: int = 1) -> Tre
 
 
 def log_odds(trees: Trees, x: np.ndarray) -> np.ndarray:
-    feature, threshold, left, right, value = trees
-    out, rows = np.zeros(len(x)), np.arange(len(x))
-    for t in range(len(feature)):
+    """The boosted sum for each row of x; rows walk down one tree together, whichever pages they are of."""
+    out, flat, first = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for feature, threshold, left, right, value in zip(*trees, strict=True):
         at = np.zeros(len(x), np.int32)
         for _ in range(DEPTH):
-            at = np.where(x[rows, feature[t, at]] <= threshold[t, at], left[t, at], right[t, at])
-        out += value[t, at]
+            below = flat.take(first + feature.take(at)) <= threshold.take(at)
+            at = np.where(below, left.take(at), right.take(at))
+        out += value.take(at)
     return 2 * out
 
 
+def extract_all(pages: Iterator[str], trees: Trees) -> Iterator[str]:
+    """The main text of each page; pages are scored together until they have NODES nodes, so memory is bounded by that or one page."""
+    group: list[Page] = []
+
+    def texts() -> Iterator[str]:
+        odds = log_odds(trees, np.concatenate([features(p) for p in group]))
+        at = 0
+        for page in group:
+            own = odds[at : at + len(page.tags)]
+            at += len(page.tags)
+            yield main_text(page, decode(page, own))
+        group.clear()
+
+    nodes = 0
+    for html in pages:
+        group.append(Page(html))
+        nodes += len(group[-1].tags)
+        if nodes >= NODES:
+            yield from texts()
+            nodes = 0
+    if group:
+        yield from texts()
+
+
 def extract(html: str, trees: Trees) -> str:
-    page = Page(html)
-    odds = np.zeros(len(page.tags))
-    if len(odds) > 1:
-        odds[1:] = log_odds(trees, features(page)[1:])
-    return main_text(page, decode(page, odds))
+    return next(extract_all(iter([html]), trees))
 
 
 def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
@@ -107,7 +130,7 @@ def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, trees) if h else "" for h in batch.column("html").to_pylist()]
+            texts = list(extract_all((h.as_py() or "" for h in batch.column("html")), trees))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

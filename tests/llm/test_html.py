@@ -5,7 +5,7 @@ import pytest
 
 from siftwork.llm import html_extract as he
 from siftwork.llm.html_training import Maker
-from siftwork.llm.html_tree import Page, decode, features, main_text
+from siftwork.llm.html_tree import TOKENS, Page, decode, features, main_text
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,20 @@ def test_parsing():
         Page(broken)
 
 
+def test_heads_and_long_attributes():
+    """A head ends at its end tag, at a tag that cannot stand in it, or at text; attribute tokens count wherever they stand."""
+    for html in ("<head><title>t</title><p>a</p>", "<head><meta charset=x><body><p>a", "<head><script>x</script>a", "<head><style>x</style></head><p>a"):
+        assert [t for _, t in Page(html).blocks] == ["a"]
+    page = Page(f'<div class="{"x1 " * 400}sidebar">a</div>')
+    assert page.kinds[1][list(TOKENS).index("side")] == 1
+
+
+def test_grouped_pages_equal_single_ones(trees):
+    """Pages scored together come out as they do alone, in order."""
+    pages = [Maker(seed).page()[0] for seed in range(60_000, 60_040)] + ["", "<p>" * 5000 + "a"]
+    assert list(he.extract_all(iter(pages), trees)) == [he.extract(p, trees) for p in pages]
+
+
 def test_decoding_is_consistent():
     page = Page("<div><p>a</p><p>b</p></div><section><p>c</p></section>")
     names = dict(zip(page.tags, range(len(page.tags)), strict=False))
