@@ -44,7 +44,8 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    cut = remove_repeats(_table(spark, sf_dir, "documents"), length=400, shared_words=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words")
 
 
 def op7_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -128,7 +128,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(side: DataFrame, row_bytes: int) -> DataFrame:
-    """A broadcast hint if side's rows, counted now, stay within BROADCAST_BYTES; else the side as it is (a shuffled join)."""
-    limit = BROADCAST_BYTES // row_bytes
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+def sized_broadcast(side: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """A broadcast hint if side, counted now, stays within BROADCAST_BYTES; else the side as it is (a shuffled join).
+
+    row_bytes is the width of every row, or for rows that hold arrays or texts a Column with the width of each.
+    """
+    if isinstance(row_bytes, Column):
+        small = (side.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    else:
+        limit = BROADCAST_BYTES // row_bytes
+        small = side.limit(limit + 1).count() <= limit
+    return F.broadcast(side) if small else side

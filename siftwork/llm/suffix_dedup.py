@@ -17,14 +17,19 @@ positions where a residue cover for 400 bytes needs 1/17 and triples 2/3.
    their runs is named; equal names mark repeated windows.
 5. Removed bytes are the union of repeated windows; texts get them by row key.
 
+The same scheme runs over words instead of bytes (``unit="words"``), so that
+passages of a number of words are found whatever their length in bytes, and
+with ``across`` only strings that other rows hold too count as repeated.
+
 Defined cases: null or empty texts have no bytes; a text shorter than
-``length`` loses nothing; repeated rows are copies of each other; a null doc_id
-is carried through; extra columns are ignored.
+``length`` loses nothing; repeated rows are copies of each other for the removal
+and one row for ``across``; a null doc_id is carried through; extra columns are
+ignored by ``remove_repeats`` and kept by ``without_repeats``, where a character
+that a cut splits goes as a whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,26 +37,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, materialize, mix, prefix_hashes, signed, sized_broadcast, small_batches, span_hashes
+from .shared import byte_texts, materialize, mix, prefix_hashes, signed, sized_broadcast, small_batches, span_hashes, word_hashes
 
-GRAM = 64
+#: Symbols of a gram at most, by the unit of strings; shorter strings have grams of half their length.
+GRAM = {"bytes": 64, "words": 8}
 #: Positions inside a stretch take the low bits of a key; longer texts are sampled in stretches.
 _LOW = np.uint64((1 << 24) - 1)
 STRETCH = 8 << 20
 #: Runs of one gram that are compared in memory; a gram with more is counted by window names in Spark.
-GROUP_RUNS = 20_000
+GROUP_RUNS = 1_000
 #: Runs that are put together for one vectorised comparison.
 BATCH_BYTES = 4 << 20
 
 
-def sampled(data: np.ndarray, prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(data: np.ndarray, unit: str) -> np.ndarray:
+    return data if unit == "bytes" else word_hashes(data)
+
+
+def sampled(data: np.ndarray, prefix: np.ndarray, length: int, gram: int = GRAM["bytes"]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sampled positions, gram names, and the first and last window start that each stands for."""
-    width = length - GRAM + 1
+    width = length - gram + 1
     parts = []
     for base in range(0, len(data) - length + 1, STRETCH):
-        grams = min(len(data) - base, STRETCH + length - 1) - GRAM + 1
+        grams = min(len(data) - base, STRETCH + length - 1) - gram + 1
         at = np.arange(grams)
-        names = span_hashes(prefix, at + base, at + base + GRAM)
+        names = span_hashes(prefix, at + base, at + base + gram)
         padded = np.full(-(-grams // width) * width, ~np.uint64(0))
         padded[:grams] = (names & ~_LOW) | at.astype(np.uint64)
         blocks = padded.reshape(-1, width)
@@ -66,15 +76,16 @@ def sampled(data: np.ndarray, prefix: np.ndarray, length: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _samples(length: int):
+def _samples(length: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, rows = [], []
-            for row, data in enumerate(byte_texts(batch.column("text"))):
+            for row, text in enumerate(byte_texts(batch.column("text"))):
+                data = _symbols(text, unit)
                 if len(data) < length:
                     continue
                 prefix = prefix_hashes(data)
-                pos, names, first, last = sampled(data, prefix, length)
+                pos, names, first, last = sampled(data, prefix, length, min(GRAM[unit], -(-length // 2)))
                 runs = span_hashes(prefix, first, last + length) ^ mix((pos - first).astype(np.uint64))
                 out.append((names, runs, pos, first, last))
                 rows.append(np.full(len(pos), row))
@@ -90,12 +101,13 @@ def _samples(length: int):
     return run
 
 
-def _contexts(length: int):
-    """The bytes of each run to compare: text[first : last + length]."""
+def _contexts(length: int, unit: str):
+    """The symbols of each run to compare: text[first : last + length]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, key, places in zip(byte_texts(batch.column("text")), batch.column("row_key"), batch.column("places"), strict=True):
+            for text, key, places in zip(byte_texts(batch.column("text")), batch.column("row_key"), batch.column("places"), strict=True):
+                data = _symbols(text, unit)
                 cut = {k: np.array([p[k] for p in places.as_py()]) for k in ("gram", "first", "last", "alone")}
                 if len(cut["gram"]) == 0:
                     continue
@@ -108,20 +120,28 @@ def _contexts(length: int):
     return run
 
 
-def _repeated_spans(keys: list, firsts: list, alone: list, bodies: list, length: int) -> list[tuple[int, int, int]]:
-    """Spans of the windows that occur twice among the bodies; of bodies marked alone only."""
-    sizes = np.array([len(b) for b in bodies])
-    prefix = prefix_hashes(np.frombuffer(b"".join(bodies), np.uint8))
+def _repeated_spans(keys: list, firsts: list, alone: list, bodies: list, length: int, kind: type, across: bool) -> list[tuple[int, int, int]]:
+    """Spans of the windows that occur twice among the bodies (in different rows if ``across``); of bodies marked alone only."""
+    sizes = np.array([len(b) for b in bodies]) // np.dtype(kind).itemsize
+    prefix = prefix_hashes(np.frombuffer(b"".join(bodies), kind))
     begin = np.cumsum(sizes) - sizes
     counts = sizes - length + 1
     owner = np.repeat(np.arange(len(bodies)), counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
     names = span_hashes(prefix, start, start + length)
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
     twice = np.zeros(len(names), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if across:
+        row = np.array(keys)[owner]
+        order = np.lexsort((row, names))
+        head = np.flatnonzero(np.diff(names[order], prepend=~names[order][:1]))
+        tail = np.append(head[1:], len(order)) - 1
+        # Of equal names, the least and the greatest row differ.
+        twice[order] = np.repeat(row[order][head] != row[order][tail], tail - head + 1)
+    else:
+        order = np.argsort(names, kind="stable")
+        same = names[order][1:] == names[order][:-1]
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
     twice &= np.array(alone)[owner]
     hit = np.flatnonzero(twice)
     if len(hit) == 0:
@@ -134,7 +154,7 @@ def _repeated_spans(keys: list, firsts: list, alone: list, bodies: list, length:
     return out
 
 
-def _compared(length: int):
+def _compared(length: int, kind: type, across: bool):
     """Rows sorted by gram; whole grams are put together up to BATCH_BYTES and compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +162,7 @@ def _compared(length: int):
         size, gram = 0, None
 
         def flush() -> pa.RecordBatch:
-            spans = _repeated_spans(*(list(x) for x in zip(*rows, strict=True)), length)
+            spans = _repeated_spans(*(list(x) for x in zip(*rows, strict=True)), length, kind, across)
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row_key", "start", "end"])
 
@@ -161,76 +181,126 @@ def _compared(length: int):
     return run
 
 
-def _window_names(length: int):
+def _window_names(length: int, kind: type):
     """One row for each window of a run of a very frequent gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, first, alone, body in zip(*(batch.column(c).to_pylist() for c in ("row_key", "first", "alone", "body")), strict=True):
-                at = np.arange(len(body) - length + 1)
-                names = span_hashes(prefix_hashes(np.frombuffer(body, np.uint8)), at, at + length)
+                data = np.frombuffer(body, kind)
+                at = np.arange(len(data) - length + 1)
+                names = span_hashes(prefix_hashes(data), at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(np.full(len(at), key)), pa.array((at + first).astype(np.int32)), pa.array(np.full(len(at), alone))], names=["name", "row_key", "start", "alone"])
 
     return run
 
 
+def _union(spans: list | None) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _kept(data: np.ndarray, runs: list[list[int]]) -> bytes:
+    edges = [0, *(x for run in runs for x in run), len(data)]
+    return b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_bytes, n_removed, n_spans, digests = [], [], [], []
-        for data, spans in zip(byte_texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-            digest, at, runs = hashlib.sha256(), 0, []
-            for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
-                else:
-                    runs.append(list(s))
-            for a, b in runs:
-                digest.update(data[at:a].tobytes())
-                at = b
-            digest.update(data[at:].tobytes())
+        n_bytes, n_removed, n_spans, n_shared, kept = [], [], [], [], []
+        for data, spans, shared in zip(byte_texts(batch.column("text")), batch.column("spans").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            runs = _union(spans)
             n_bytes.append(len(data))
             n_removed.append(sum(b - a for a, b in runs))
             n_spans.append(len(runs))
-            digests.append(digest.hexdigest())
+            n_shared.append(sum(b - a for a, b in _union(shared)))
+            kept.append(_kept(data, runs))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_shared)), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_shared_words", "kept"],
         )
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """row_key, start, end: spans (they may overlap) of docs(row_key, text) whose every byte lies in a repeated window."""
-    samples = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(_samples(length), "gram long, run long, row_key long, pos int, first int, last int"), "samples")
-    grams = samples.groupBy("gram").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).where("n > 1")
+def repeated_spans(docs: DataFrame, length: int, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """row_key, start, end: spans (they may overlap) of docs(row_key, text) whose every byte or word lies in a repeated window."""
+    kind = np.uint8 if unit == "bytes" else np.uint64
+    long = docs.where(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1))
+    samples = materialize(long.mapInArrow(_samples(length, unit), "gram long, run long, row_key long, pos int, first int, last int"), "samples")
+    grams = samples.groupBy("gram").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high" if across else "n > 1")
     grams = materialize(grams.select("gram", (F.col("a") != F.col("b")).alias("several")), "grams")
     repeated = samples.join(sized_broadcast(grams, 16), "gram")
-    runs = repeated.groupBy("gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"))
-    runs = materialize(runs.select("gram", "run", "several", (F.col("n") == 1).alias("alone"), "m.*"), "runs")
+    runs = repeated.groupBy("gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"), F.max("row_key").alias("high"))
+    alone = F.col("m.row_key") == F.col("high") if across else F.col("n") == 1
+    runs = materialize(runs.select("gram", "run", "several", "n", alone.alias("alone"), "m.*"), "runs")
     whole = samples.join(sized_broadcast(runs.where("not alone").select("gram", "run"), 16), ["gram", "run"]).select("row_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     members = runs.where("several").select("gram", "row_key", "first", "last", "alone")
+    if across:
+        # Runs that one row alone holds, several times: all their places, not one for all.
+        own = sized_broadcast(runs.where("several and alone and n > 1").select("gram", "run"), 16)
+        places = samples.join(own, ["gram", "run"]).select("gram", "row_key", "first", "last", F.lit(True).alias("alone"))
+        members = runs.where("several and (not alone or n = 1)").select("gram", "row_key", "first", "last", "alone").unionByName(places)
     frequent = materialize(members.groupBy("gram").count().where(F.col("count") > GROUP_RUNS).select("gram", F.lit(True).alias("frequent")), "frequent")
-    places = members.groupBy("row_key").agg(F.collect_list(F.struct("gram", "first", "last", "alone")).alias("places"))
-    texts = docs.join(sized_broadcast(places, 120), "row_key")
-    bodies = texts.select("row_key", "text", "places").mapInArrow(_contexts(length), "gram long, row_key long, first int, alone boolean, body binary")
+    places = materialize(members.groupBy("row_key").agg(F.collect_list(F.struct("gram", "first", "last", "alone")).alias("places")), "places")
+    texts = docs.join(sized_broadcast(places, 40 + 24 * F.size("places")), "row_key")
+    bodies = texts.select("row_key", "text", "places").mapInArrow(_contexts(length, unit), "gram long, row_key long, first int, alone boolean, body binary")
     if frequent.limit(1).count() == 0:
         usual = bodies
     else:
-        bodies = materialize(bodies.join(F.broadcast(frequent), "gram", "left"), "bodies")
+        bodies = materialize(bodies.join(sized_broadcast(frequent, 16), "gram", "left"), "bodies")
         usual = bodies.where("frequent is null").drop("frequent")
-    found = usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "row_key long, start int, end int")
+    found = usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length, kind, across), "row_key long, start int, end int")
     spans = whole.unionByName(found)
     if frequent.limit(1).count():
-        named = bodies.where("frequent").select("row_key", "first", "alone", "body").mapInArrow(_window_names(length), "name long, row_key long, start int, alone boolean")
-        twice = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        named = bodies.where("frequent").select("row_key", "first", "alone", "body").mapInArrow(_window_names(length, kind), "name long, row_key long, start int, alone boolean")
+        twice = named.groupBy("name").agg(F.count("*").alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high" if across else "n > 1").select("name")
         spans = spans.unionByName(named.where("alone").join(twice, "name").select("row_key", "start", (F.col("start") + length).alias("end")))
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
+def _by_row(docs: DataFrame, length: int, unit: str, across: bool, name: str) -> DataFrame:
+    """row_key, name: the repeated spans of each text as an array."""
+    spans = repeated_spans(docs, length, unit, across).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias(name))
+    spans = materialize(spans, "spans")
+    return sized_broadcast(spans, 40 + 16 * F.size(name))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, shared_words: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_shared_words, kept (the remaining bytes) for each row of docs(doc_id, text).
+
+    n_shared_words: words in passages of ``shared_words`` words or more that another row holds too; they stay unless ``length`` bytes repeat.
+    """
+    small_batches(docs.sparkSession)
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = docs.select("row_key", "text")
+    joined = docs.join(_by_row(texts, length, "bytes", False, "spans"), "row_key", "left").join(_by_row(texts, shared_words, "words", True, "shared"), "row_key", "left")
+    return joined.select("doc_id", "text", "spans", "shared").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs with text lacking every repeated byte string of ``length``; n_chars counted anew, other columns as they are."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(docs.select("row_key", "text"), length).groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    return docs.join(sized_broadcast(spans, 160), "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    columns, kinds = docs.columns, dict(docs.dtypes)
+    plain = _keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")))
+    spans = _by_row(plain.select("row_key", "text"), length, "bytes", False, "spans")
+    joined = plain.join(spans, "row_key", "left").select("whole", "text", "spans")
+    schema = docs.sparkSession.createDataFrame([], f"whole {joined.schema['whole'].dataType.simpleString()}, new_text string").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_kept(data, _union(spans)).decode(errors="ignore") for data, spans in zip(byte_texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
+            old = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array([t if ok else None for t, ok in zip(texts, old.is_valid().to_pylist(), strict=True)], pa.string())], names=["whole", "new_text"])
+
+    out = joined.mapInArrow(run, schema)
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text")}
+    return out.select(*[new[c].cast(kinds[c]).alias(c) if c in new else F.col("whole")[c].alias(c) for c in columns])

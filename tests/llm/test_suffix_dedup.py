@@ -24,7 +24,43 @@ def brute(rows, length):
 def test_against_brute_force(odd_docs, odd_rows, length, runs, monkeypatch):
     monkeypatch.setattr(sd, "GROUP_RUNS", runs)
     found = sd.remove_repeats(odd_docs, length).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(odd_rows, length)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found) == brute(odd_rows, length)
+
+
+@pytest.mark.parametrize(("words", "runs"), [(50, 1_000), (20, 1_000), (20, 1)])
+def test_shared_words_against_brute_force(odd_docs, odd_rows, words, runs, monkeypatch):
+    """Passages of so many words that another row holds; repeats inside a row, and repeated rows, do not count."""
+    monkeypatch.setattr(sd, "GROUP_RUNS", runs)
+    split = [(i, (t or "").split()) for i, t in odd_rows]
+    holders = {}
+    for i, ws in split:
+        for k in range(len(ws) - words + 1):
+            holders.setdefault(tuple(ws[k : k + words]), set()).add((i, tuple(ws)))
+    wanted = []
+    for i, ws in split:
+        covered = {j for k in range(len(ws) - words + 1) if len(holders[tuple(ws[k : k + words])]) > 1 for j in range(k, k + words)}
+        wanted.append((-1 if i is None else i, len(covered)))
+    found = sd.remove_repeats(odd_docs, 400, words).select("doc_id", "n_shared_words").collect()
+    assert sorted((-1 if r[0] is None else r[0], r[1]) for r in found) == sorted(wanted) and any(n for _, n in wanted)
+
+
+def test_repeats_inside_a_row_beside_another_row(spark):
+    """A passage twice in one row and, with another start, in a second row: every place counts."""
+    a = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(a + ["x"] + a + ["y"])), (2, " ".join(["z"] + a[5:])), (3, " ".join(["q"] * 60))]
+    found = {r.doc_id: r.n_shared_words for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, 20).collect()}
+    assert found == {1: 70, 2: 35, 3: 0}
+
+
+def test_remaining_texts(spark, odd_docs, odd_rows):
+    """The texts without their repeats: as the kept bytes say, columns as they were, split characters left out."""
+    out = sd.without_repeats(odd_docs, 400)
+    assert out.columns == odd_docs.columns and dict(out.dtypes) == dict(odd_docs.dtypes)
+    kept = sorted((str(r.doc_id), r.kept.decode(errors="ignore")) for r in sd.remove_repeats(odd_docs, 400).collect())
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == kept
+    assert all(r.n_chars == len(r.text) for r in out.where("text is not null").collect()) and out.where("text is null").count() == 2
+    cut = sd.without_repeats(spark.createDataFrame([(1, "é" * 30), (2, "a" + "é" * 30)], "doc_id long, text string"), 50)
+    assert {r.text for r in cut.collect()} == {"", "a"}
 
 
 def test_stretches(monkeypatch, odd_docs, odd_rows):
@@ -41,4 +77,4 @@ def test_stretches(monkeypatch, odd_docs, odd_rows):
 
 
 def test_empty(no_docs):
-    assert sd.remove_repeats(no_docs).count() == 0
+    assert sd.remove_repeats(no_docs).count() == sd.without_repeats(no_docs).count() == 0
