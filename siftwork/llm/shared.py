@@ -128,14 +128,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(side: DataFrame, row_bytes: int | Column) -> DataFrame:
-    """A broadcast hint if side, counted now, stays within BROADCAST_BYTES; else the side as it is (a shuffled join).
+def sized_broadcast(side: DataFrame, row_bytes: int | Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if side, counted now, stays within ``most`` bytes; else the side as it is (a shuffled join).
 
     row_bytes is the width of every row, or for rows that hold arrays or texts a Column with the width of each.
     """
     if isinstance(row_bytes, Column):
-        small = (side.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+        small = (side.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= most
     else:
-        limit = BROADCAST_BYTES // row_bytes
+        limit = most // row_bytes
         small = side.limit(limit + 1).count() <= limit
     return F.broadcast(side) if small else side

@@ -31,6 +31,7 @@ that a cut splits goes as a whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,31 @@ GRAM = {"bytes": 64, "words": 8}
 _LOW = np.uint64((1 << 24) - 1)
 STRETCH = 8 << 20
 #: Runs of one gram that are compared in memory; a gram with more is counted by window names in Spark.
-GROUP_RUNS = 1_000
+GROUP_RUNS = 20_000
 #: Runs that are put together for one vectorised comparison.
 BATCH_BYTES = 4 << 20
+#: Places and spans up to this size go to the texts; more, and texts and they are shuffled by row.
+SIDE_BYTES = 1 << 20
 
 
-def _symbols(data: np.ndarray, unit: str) -> np.ndarray:
-    return data if unit == "bytes" else word_hashes(data)
+@dataclass(frozen=True)
+class Search:
+    """Strings of ``length`` symbols that occur twice; with ``across``, in different rows."""
+
+    length: int
+    unit: str = "bytes"
+    across: bool = False
+
+    @property
+    def gram(self) -> int:
+        return min(GRAM[self.unit], -(-self.length // 2))
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.unit == "bytes" else np.uint64
+
+    def symbols(self, data: np.ndarray) -> np.ndarray:
+        return data if self.unit == "bytes" else word_hashes(data)
 
 
 def sampled(data: np.ndarray, prefix: np.ndarray, length: int, gram: int = GRAM["bytes"]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,46 +95,46 @@ def sampled(data: np.ndarray, prefix: np.ndarray, length: int, gram: int = GRAM[
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _samples(length: int, unit: str):
+def _samples(searches: list[Search]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, rows = [], []
-            for row, text in enumerate(byte_texts(batch.column("text"))):
-                data = _symbols(text, unit)
-                if len(data) < length:
+            for number, search in enumerate(searches):
+                out, rows = [], []
+                for row, text in enumerate(byte_texts(batch.column("text"))):
+                    data = search.symbols(text)
+                    if len(data) < search.length:
+                        continue
+                    prefix = prefix_hashes(data)
+                    pos, names, first, last = sampled(data, prefix, search.length, search.gram)
+                    runs = span_hashes(prefix, first, last + search.length) ^ mix((pos - first).astype(np.uint64))
+                    out.append((names, runs, first, last))
+                    rows.append(np.full(len(pos), row))
+                if not out:
                     continue
-                prefix = prefix_hashes(data)
-                pos, names, first, last = sampled(data, prefix, length, min(GRAM[unit], -(-length // 2)))
-                runs = span_hashes(prefix, first, last + length) ^ mix((pos - first).astype(np.uint64))
-                out.append((names, runs, pos, first, last))
-                rows.append(np.full(len(pos), row))
-            if not out:
-                continue
-            names, runs, pos, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
-            keys = batch.column("row_key").take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(names)), pa.array(signed(runs)), keys, *(pa.array(x.astype(np.int32)) for x in (pos, first, last))],
-                names=["gram", "run", "row_key", "pos", "first", "last"],
-            )
+                names, runs, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+                keys = batch.column("row_key").take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(names), number, np.int32)), pa.array(signed(names)), pa.array(signed(runs)), keys, *(pa.array(x.astype(np.int32)) for x in (first, last))],
+                    names=["search", "gram", "run", "row_key", "first", "last"],
+                )
 
     return run
 
 
-def _contexts(length: int, unit: str):
+def _contexts(searches: list[Search]):
     """The symbols of each run to compare: text[first : last + length]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, key, places in zip(byte_texts(batch.column("text")), batch.column("row_key"), batch.column("places"), strict=True):
-                data = _symbols(text, unit)
-                cut = {k: np.array([p[k] for p in places.as_py()]) for k in ("gram", "first", "last", "alone")}
-                if len(cut["gram"]) == 0:
-                    continue
-                bodies = [data[a : b + length].tobytes() for a, b in zip(cut["first"], cut["last"], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cut["gram"], pa.int64()), pa.array([key.as_py()] * len(bodies), pa.int64()), pa.array(cut["first"], pa.int32()), pa.array(cut["alone"], pa.bool_()), pa.array(bodies, pa.binary())],
-                    names=["gram", "row_key", "first", "alone", "body"],
-                )
+            for text, key, places in zip(byte_texts(batch.column("text")), batch.column("row_key").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                for number in sorted({p["search"] for p in places}):
+                    search = searches[number]
+                    data = search.symbols(text)
+                    own = [p for p in places if p["search"] == number]
+                    bodies = [data[p["first"] : p["last"] + search.length].tobytes() for p in own]
+                    values = [[number] * len(own), [p["gram"] for p in own], [key] * len(own), [p["first"] for p in own], [p["alone"] for p in own], bodies]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["search", "gram", "row_key", "first", "alone", "body"])
 
     return run
 
@@ -154,43 +173,44 @@ def _repeated_spans(keys: list, firsts: list, alone: list, bodies: list, length:
     return out
 
 
-def _compared(length: int, kind: type, across: bool):
-    """Rows sorted by gram; whole grams are put together up to BATCH_BYTES and compared."""
+def _compared(searches: list[Search]):
+    """Rows sorted by search and gram; whole grams are put together up to BATCH_BYTES and compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size, gram = 0, None
+        size, last = 0, None
 
-        def flush() -> pa.RecordBatch:
-            spans = _repeated_spans(*(list(x) for x in zip(*rows, strict=True)), length, kind, across)
+        def flush(number: int) -> pa.RecordBatch:
+            search = searches[number]
+            spans = _repeated_spans(*(list(x) for x in zip(*rows, strict=True)), search.length, search.kind, search.across)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row_key", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(spans), pa.int32()), *(pa.array([s[i] for s in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32())))], names=["search", "row_key", "start", "end"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("gram", "row_key", "first", "alone", "body")]
-            for g, *row in zip(*columns, strict=True):
-                if g != gram and size >= BATCH_BYTES:
-                    yield flush()
+            columns = [batch.column(c).to_pylist() for c in ("search", "gram", "row_key", "first", "alone", "body")]
+            for number, gram, *row in zip(*columns, strict=True):
+                if rows and (number, gram) != last and (number != last[0] or size >= BATCH_BYTES):
+                    yield flush(last[0])
                     size = 0
-                gram = g
+                last = number, gram
                 rows.append(tuple(row))
                 size += len(row[-1])
         if rows:
-            yield flush()
+            yield flush(last[0])
 
     return run
 
 
-def _window_names(length: int, kind: type):
+def _window_names(searches: list[Search]):
     """One row for each window of a run of a very frequent gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, first, alone, body in zip(*(batch.column(c).to_pylist() for c in ("row_key", "first", "alone", "body")), strict=True):
-                data = np.frombuffer(body, kind)
-                at = np.arange(len(data) - length + 1)
-                names = span_hashes(prefix_hashes(data), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(np.full(len(at), key)), pa.array((at + first).astype(np.int32)), pa.array(np.full(len(at), alone))], names=["name", "row_key", "start", "alone"])
+            for number, key, first, alone, body in zip(*(batch.column(c).to_pylist() for c in ("search", "row_key", "first", "alone", "body")), strict=True):
+                data = np.frombuffer(body, searches[number].kind)
+                at = np.arange(len(data) - searches[number].length + 1)
+                names = span_hashes(prefix_hashes(data), at, at + searches[number].length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(signed(names)), pa.array(np.full(len(at), key)), pa.array((at + first).astype(np.int32)), pa.array(np.full(len(at), alone))], names=["search", "name", "row_key", "start", "alone"])
 
     return run
 
@@ -213,12 +233,12 @@ def _kept(data: np.ndarray, runs: list[list[int]]) -> bytes:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_bytes, n_removed, n_spans, n_shared, kept = [], [], [], [], []
-        for data, spans, shared in zip(byte_texts(batch.column("text")), batch.column("spans").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-            runs = _union(spans)
+        for data, spans in zip(byte_texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            runs, shared = (_union([s for s in spans or () if s["search"] == number]) for number in (0, 1))
             n_bytes.append(len(data))
             n_removed.append(sum(b - a for a, b in runs))
             n_spans.append(len(runs))
-            n_shared.append(sum(b - a for a, b in _union(shared)))
+            n_shared.append(sum(b - a for a, b in shared))
             kept.append(_kept(data, runs))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_shared)), pa.array(kept, pa.binary())],
@@ -226,48 +246,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, length: int, unit: str = "bytes", across: bool = False) -> DataFrame:
-    """row_key, start, end: spans (they may overlap) of docs(row_key, text) whose every byte or word lies in a repeated window."""
-    kind = np.uint8 if unit == "bytes" else np.uint64
-    long = docs.where(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1))
-    samples = materialize(long.mapInArrow(_samples(length, unit), "gram long, run long, row_key long, pos int, first int, last int"), "samples")
-    grams = samples.groupBy("gram").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high" if across else "n > 1")
-    grams = materialize(grams.select("gram", (F.col("a") != F.col("b")).alias("several")), "grams")
-    repeated = samples.join(sized_broadcast(grams, 16), "gram")
-    runs = repeated.groupBy("gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"), F.max("row_key").alias("high"))
-    alone = F.col("m.row_key") == F.col("high") if across else F.col("n") == 1
-    runs = materialize(runs.select("gram", "run", "several", "n", alone.alias("alone"), "m.*"), "runs")
-    whole = samples.join(sized_broadcast(runs.where("not alone").select("gram", "run"), 16), ["gram", "run"]).select("row_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    members = runs.where("several").select("gram", "row_key", "first", "last", "alone")
-    if across:
-        # Runs that one row alone holds, several times: all their places, not one for all.
-        own = sized_broadcast(runs.where("several and alone and n > 1").select("gram", "run"), 16)
-        places = samples.join(own, ["gram", "run"]).select("gram", "row_key", "first", "last", F.lit(True).alias("alone"))
-        members = runs.where("several and (not alone or n = 1)").select("gram", "row_key", "first", "last", "alone").unionByName(places)
-    frequent = materialize(members.groupBy("gram").count().where(F.col("count") > GROUP_RUNS).select("gram", F.lit(True).alias("frequent")), "frequent")
-    places = materialize(members.groupBy("row_key").agg(F.collect_list(F.struct("gram", "first", "last", "alone")).alias("places")), "places")
-    texts = docs.join(sized_broadcast(places, 40 + 24 * F.size("places")), "row_key")
-    bodies = texts.select("row_key", "text", "places").mapInArrow(_contexts(length, unit), "gram long, row_key long, first int, alone boolean, body binary")
-    if frequent.limit(1).count() == 0:
-        usual = bodies
-    else:
-        bodies = materialize(bodies.join(sized_broadcast(frequent, 16), "gram", "left"), "bodies")
-        usual = bodies.where("frequent is null").drop("frequent")
-    found = usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length, kind, across), "row_key long, start int, end int")
+def repeated_spans(docs: DataFrame, searches: list[Search]) -> DataFrame:
+    """search (place in the list), row_key, start, end: spans (they may overlap) of docs(row_key, text) whose every symbol lies in a repeated string."""
+    least = min(s.length if s.unit == "bytes" else 2 * s.length - 1 for s in searches)
+    length = F.array(*[F.lit(s.length) for s in searches])[F.col("search")]
+    across = F.array(*[F.lit(s.across) for s in searches])[F.col("search")]
+    samples = materialize(docs.where(F.octet_length("text") >= least).mapInArrow(_samples(searches), "search int, gram long, run long, row_key long, first int, last int"), "samples")
+
+    grams = samples.groupBy("search", "gram").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"), F.min("row_key").alias("low"), F.max("row_key").alias("high"))
+    grams = materialize(grams.where(F.when(across, F.col("low") < F.col("high")).otherwise(F.col("n") > 1)).select("search", "gram", (F.col("a") != F.col("b")).alias("several")), "grams")
+    repeated = samples.join(sized_broadcast(grams, 24), ["search", "gram"])
+    runs = repeated.groupBy("search", "gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"), F.max("row_key").alias("high"))
+    alone = F.when(across, F.col("m.row_key") == F.col("high")).otherwise(F.col("n") == 1)
+    runs = materialize(runs.select("search", "gram", "run", "several", "n", alone.alias("alone"), "m.*"), "runs")
+    # Runs that are repeated as a whole, and runs that one row alone holds several times: all their places.
+    placed = samples.join(sized_broadcast(runs.where("not alone or several and n > 1").select("search", "gram", "run", "alone"), 32), ["search", "gram", "run"])
+    placed = materialize(placed.select("search", "gram", "row_key", "first", "last", "alone"), "placed")
+    whole = placed.where("not alone").select("search", "row_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+
+    members = runs.where("several and (not alone or n = 1)").select("search", "gram", "row_key", "first", "last", "alone").unionByName(placed.where("alone"))
+    frequent = materialize(members.groupBy("search", "gram").count().where(F.col("count") > GROUP_RUNS).select("search", "gram", F.lit(True).alias("frequent")), "frequent")
+    places = materialize(members.groupBy("row_key").agg(F.collect_list(F.struct("search", "gram", "first", "last", "alone")).alias("places")), "places")
+    texts = docs.join(sized_broadcast(places, 40 + 28 * F.size("places"), SIDE_BYTES), "row_key")
+    # Of repeated rows no run is alone in bytes, and for ``across`` they are one row, so their bodies may stand there twice.
+    bodies = texts.select("row_key", "text", "places").mapInArrow(_contexts(searches), "search int, gram long, row_key long, first int, alone boolean, body binary")
+    some = frequent.limit(1).count()
+    if some:
+        bodies = materialize(bodies.join(sized_broadcast(frequent, 24), ["search", "gram"], "left"), "bodies")
+    usual = bodies.where("frequent is null").drop("frequent") if some else bodies
+    found = usual.repartition("search", "gram").sortWithinPartitions("search", "gram").mapInArrow(_compared(searches), "search int, row_key long, start int, end int")
     spans = whole.unionByName(found)
-    if frequent.limit(1).count():
-        named = bodies.where("frequent").select("row_key", "first", "alone", "body").mapInArrow(_window_names(length, kind), "name long, row_key long, start int, alone boolean")
-        twice = named.groupBy("name").agg(F.count("*").alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high" if across else "n > 1").select("name")
-        spans = spans.unionByName(named.where("alone").join(twice, "name").select("row_key", "start", (F.col("start") + length).alias("end")))
+    if some:
+        named = bodies.where("frequent").select("search", "row_key", "first", "alone", "body").mapInArrow(_window_names(searches), "search int, name long, row_key long, start int, alone boolean")
+        twice = named.groupBy("search", "name").agg(F.count("*").alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high"))
+        twice = twice.where(F.when(across, F.col("low") < F.col("high")).otherwise(F.col("n") > 1)).select("search", "name")
+        spans = spans.unionByName(named.where("alone").join(twice, ["search", "name"]).select("search", "row_key", "start", (F.col("start") + length).alias("end")))
     return spans
 
 
-def _by_row(docs: DataFrame, length: int, unit: str, across: bool, name: str) -> DataFrame:
-    """row_key, name: the repeated spans of each text as an array."""
-    spans = repeated_spans(docs, length, unit, across).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias(name))
-    spans = materialize(spans, "spans")
-    return sized_broadcast(spans, 40 + 16 * F.size(name))
+def _by_row(docs: DataFrame, searches: list[Search]) -> DataFrame:
+    """row_key, spans: the repeated spans of each text as an array."""
+    spans = repeated_spans(docs, searches).groupBy("row_key").agg(F.collect_set(F.struct("search", "start", "end")).alias("spans"))
+    return sized_broadcast(materialize(spans, "spans"), 40 + 20 * F.size("spans"), SIDE_BYTES)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -282,8 +302,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, shared_words: int = 50) -
     small_batches(docs.sparkSession)
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = docs.select("row_key", "text")
-    joined = docs.join(_by_row(texts, length, "bytes", False, "spans"), "row_key", "left").join(_by_row(texts, shared_words, "words", True, "shared"), "row_key", "left")
-    return joined.select("doc_id", "text", "spans", "shared").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, kept binary")
+    spans = _by_row(texts, [Search(length), Search(shared_words, "words", across=True)])
+    return docs.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -291,7 +311,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     small_batches(docs.sparkSession)
     columns, kinds = docs.columns, dict(docs.dtypes)
     plain = _keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")))
-    spans = _by_row(plain.select("row_key", "text"), length, "bytes", False, "spans")
+    spans = _by_row(plain.select("row_key", "text"), [Search(length)])
     joined = plain.join(spans, "row_key", "left").select("whole", "text", "spans")
     schema = docs.sparkSession.createDataFrame([], f"whole {joined.schema['whole'].dataType.simpleString()}, new_text string").schema
 
