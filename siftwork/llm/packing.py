@@ -17,10 +17,11 @@ through; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,18 @@ RANKED = 50_000
 
 @cache
 def _encoder(path: str):
-    """The byte-level BPE whose ranks stand beside the tokenizer file ``path`` (same vocabulary, same ids)."""
+    """The byte-level BPE whose ranks stand beside the tokenizer file ``path`` (same vocabulary, same ids; its added tokens are split off first, as there)."""
     import public_tokenizers
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError(f"{path}: added tokens that take white space or whole words are not supported")
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+    return partial(encoding.encode, allowed_special="all")
 
 
 class _Words(dict):

@@ -13,15 +13,14 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_words_equal_the_tokenizer():
-    texts = ["", " ", "a  b", "a\n b", "it's  the\t tab ", "x" * 300, "é ü 漢字 <|endoftext|> 12 345", "a \n\n b", " lead", "trail ", "don't we'll\n\nI'd"]
+    texts = ["", " ", "a  b", "a\n b", "it's  the\t tab ", "x" * 300, "é ü 漢字 <|endoftext|> 12 345", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>b c", "a  <|endoftext|>  b", "<|endoftext|>", " <|endoftext|> ", "x\n<|endoftext|>\ny <|endoftext|", "a\u00a0 b \u2003c d\u3000", "a \n\n b", " lead", "trail ", "don't we'll\n\nI'd"]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab'. \n\t1é") for _ in range(60)) for _ in range(300)]
+    texts += [" ".join(rng.choice(("a", "b<|endoftext|>", "<|endoftext|>c", "", "\t", "d.")) for _ in range(8)) for _ in range(200)]
     words = packing._Words(PATH)
     for text, e in zip(texts, tokenizer().encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(words.tokenize(text), "<u4").tolist() == e.ids, text
