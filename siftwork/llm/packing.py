@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache, partial
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 #: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: Pieces of one length are ranked in buckets of about this many.
 RANKED = 50_000
+#: A space before other white space, or at the end.
+_WIDE = re.compile(r" (?:\s|\Z)")
 
 
 @cache
@@ -48,8 +52,10 @@ def _encoder(path: str):
         raise ValueError(f"{path}: added tokens that take white space or whole words are not supported")
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
-    return partial(encoding.encode, allowed_special="all")
+    special = {t["content"]: t["id"] for t in added}
+    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    plain, whole, marks = encoding.encode_ordinary, partial(encoding.encode, allowed_special="all"), tuple(special)
+    return lambda text: whole(text) if any(m in text for m in marks) else plain(text)
 
 
 class _Words(dict):
@@ -59,7 +65,7 @@ class _Words(dict):
         self.encode = _encoder(path)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return array("I", self.encode(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.ids(" " + word)
@@ -71,9 +77,9 @@ class _Words(dict):
 
     def tokenize(self, text: str) -> bytes:
         """A space before a non-space always starts a token, so a text may be cut there; other white space after a space sends the text to the encoder whole."""
-        first, *rest = text.split(" ")
-        if any(w == "" or w[0].isspace() for w in rest):
+        if _WIDE.search(text):
             return self.ids(text)
+        first, *rest = text.split(" ")
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
 
