@@ -34,7 +34,7 @@ from .shared import byte_texts, materialize, signed, sized_broadcast, small_batc
 #: Units that become a placeholder (fixed values).
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs % $ € £ usd eur gbp dollar dollars euro euros pound pounds cent cents inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years degree degrees percent".split())
 #: Benchmark windows up to this number are looked up inside the scan; more are joined by shuffle.
-LOOKUP = 4_000_000
+LOOKUP = 2_000_000
 #: Distinct words a worker remembers.
 MEMORY = 300_000
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
@@ -225,8 +225,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.mapInArrow(_item_windows(size), "item_id long, window long, item_at int, item_slots array<string>, item_words int, fixed boolean, bare boolean")
     items = materialize(items.distinct(), "items")
-    names = items.select("window").distinct().limit(LOOKUP + 1)
-    known = np.sort(np.array([r[0] for r in names.collect()], np.int64).view(np.uint64)) if names.count() <= LOOKUP else None
+    names = items.select("window").distinct()
+    # 8 bytes a window, by Arrow; LOOKUP bounds them.
+    known = np.sort(names.toArrow().column(0).to_numpy().view(np.uint64)) if names.limit(LOOKUP + 1).count() <= LOOKUP else None
     if items.limit(1).count() == 0:
         return spark.createDataFrame([], "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
     texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(F.col("_row_key").alias("row_key"), "text")
@@ -247,4 +248,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: floa
 def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of docs that hold no item, columns as they are."""
     found = materialize(leaks(docs, benchmark, size, share).select(F.col("row_key").alias("_row_key")).distinct(), "leaks")
-    return _keyed(docs).join(sized_broadcast(found, 16), "_row_key", "left_anti").drop("_row_key")
+    # The columns travel in a struct, so that one with a reserved name stays.
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    return _keyed(whole).join(sized_broadcast(found, 16), "_row_key", "left_anti").select("whole.*")

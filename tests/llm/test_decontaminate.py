@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from siftwork.llm import decontaminate as dc
@@ -52,7 +54,9 @@ def test_shuffled_lookup(spark, benchmark, monkeypatch):
 def test_empty(spark, no_docs, odd_docs, benchmark):
     assert dc.with_leaks(no_docs, benchmark).count() == 0
     assert dc.with_leaks(odd_docs, benchmark.where("false")).count() == 0
-    assert dc.without_leaks(odd_docs, benchmark).count() == odd_docs.count()
+    left = dc.without_leaks(odd_docs, benchmark)
+    assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
+    assert {r._row_key for r in left.collect()} == {"f"}
 
 
 def _held(spark, items, texts):
@@ -81,3 +85,33 @@ def test_short_texts_and_items_on_both_paths(spark, monkeypatch, limit):
     items = ["Name three moons", "What is the blue thing"]
     texts = ["name three moons", "please name three moons and stop there", "name three", "Question What is the blue thing", "Question Anna is the blue thing", "blue"]
     assert _held(spark, items, texts) == [(0, 0, False), (1, 0, False), (3, 1, False)]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_against_brute_force(spark, monkeypatch, limit):
+    """Literal items: the share of an item's words in windows that the text holds too, one of the texts being very long."""
+    monkeypatch.setattr(dc, "LOOKUP", limit)
+    rng = random.Random(5)
+    words = [a + b for a in ("ba", "ku", "lor", "mit") for b in ("ne", "sol", "tar")]
+    items = [[rng.choice(words) for _ in range(rng.randint(3, 30))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        for item in rng.sample(items, 2):
+            a = rng.randint(0, len(item) // 4)
+            text += item[a : len(item) - rng.randint(0, len(item) // 4)] + [rng.choice(words) for _ in range(rng.randint(0, 5))]
+        texts.append(text)
+    texts.append([rng.choice(words) for _ in range(50_000)] + items[0])
+    wanted = {}
+    for i, text in enumerate(texts):
+        for k, item in enumerate(items):
+            size = min(5, len(item))
+            held = {tuple(text[p : p + size]) for p in range(len(text) - size + 1)}
+            covered = {q for p in range(len(item) - size + 1) if tuple(item[p : p + size]) in held for q in range(p, p + size)}
+            if len(covered) >= 0.8 * len(item):
+                wanted[i, k] = round(len(covered) / len(item), 9)
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in enumerate(texts)], "doc_id long, text string")
+    found = dc.with_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.coverage, 9) for r in found} == wanted and len(wanted) > 20
+    assert not any(r.reparameterised for r in found)
