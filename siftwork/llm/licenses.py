@@ -2,12 +2,14 @@
 
 A text is brought to canonical form (case, copyright lines, punctuation, white
 space, equivalent spellings), and its digest is looked up among those of known
-licence texts.  Whole texts and single lines are looked up alike, so a notice
-that ends a document is found too.  DataFrame functions only: the known digests
+licence texts.  Whole texts give ``whole_text``; single lines are looked up alike, apart
+from them (``line_licenses``), so a notice that ends a document is found too.
+Long licences are known by their digest alone.  DataFrame functions only: the known digests
 are a table, broadcast behind a check of its size, else both sides shuffle.
 
 Defined cases: null or empty texts match nothing; repeated rows give their rows;
-a licence found in several lines counts each; a null doc_id is carried through;
+a licence found in several lines counts each; a digest that several licences
+share names them all, joined by OR; a null doc_id is carried through;
 extra columns are ignored; an empty list of known texts gives an empty result.
 """
 
@@ -66,6 +68,27 @@ KNOWN = [
 ]
 
 
+#: Digests (md5 of the canonical form) and lengths of whole published licences (fixed values).
+DIGESTS = [
+    ("Apache-2.0", "3f4bdf128d873ad53471b7e9441114d0", 9700),
+    ("Artistic-1.0-Perl", "6f45651e3e829ff0f6d4fc9f04384095", 5626),
+    ("BSD-3-Clause", "6989781d8e3e31bf06f590dd203d4e65", 1381),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23", 6691),
+    ("GFDL-1.2", "fd920ddc37a3d7e8c50763b83c95353c", 19514),
+    ("GFDL-1.3", "69253b6f159e4a07012cc5d95badaa85", 21882),
+    ("GPL-1.0", "e64afbb3eb9ed9907294af675f791aba", 11702),
+    ("GPL-2.0", "e374d0b43c25aed1a2b28951fe92a546", 17053),
+    ("GPL-3.0", "3d166aeeeb2ec1fea896f0a01f69dc5c", 33204),
+    ("LGPL-2.0", "7d054715126defc8a18808a6934f14a4", 23874),
+    ("LGPL-2.1", "519c5306e9399a753b0e3b10cc3f1fbd", 24961),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d", 7104),
+    ("MIT", "90a17991c3ba7b04d183a6467fbe3449", 988),
+    ("MIT", "66dd1caf442553ce09fa72a9da2e8c0e", 1008),
+    ("MPL-1.1", "a708f02208e9c42d3644490185833425", 22339),
+    ("MPL-2.0", "35fb4d2625087f7fd780039aa7b4ebb2", 14271),
+]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; an empty string if nothing is left."""
     out = F.lower(F.regexp_replace(text, COPYRIGHT, ""))
@@ -75,14 +98,21 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def digests(known: DataFrame) -> DataFrame:
+    """license, digest, length of known(license, text)."""
+    forms = known.select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
+    return forms.select("license", F.md5("c").alias("digest"), F.length("c").alias("length"))
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    """license, digest, length of the licences above."""
+    return digests(spark.createDataFrame(KNOWN, "license string, text string")).unionByName(spark.createDataFrame(DIGESTS, "license string, digest string, length int"))
 
 
 def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, whole_text (licence or null), line_licenses, n_lines for each row of docs(doc_id, text) with a match; known(license, text)."""
+    """doc_id, whole_text (licence or null), line_licenses, n_lines for each row of docs(doc_id, text) with a match; known(license, digest, length)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    known = known.select("license", canonical(F.col("text")).alias("c")).where("c <> ''").groupBy(F.md5("c").alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("length"))
+    known = known.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), " OR ").alias("license"), F.max("length").alias("length"))
     known = materialize(known, "known")
     # A line has to be as long as its canonical form, and a text as the shortest.
     shortest = known.agg(F.coalesce(F.min("length"), F.lit(1 << 30))).first()[0] - 16
@@ -109,8 +139,10 @@ def oracle() -> str:
         return out
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    more = ", ".join(f"('{a}', '{b}')" for a, b, _ in DIGESTS)
     return f"""
-with known as (select md5(c) as digest, min(license) as license from (select license, {form("text")} as c from (values {rows}) as t(license, text)) where c <> '' group by 1),
+with forms as (select license, md5(c) as digest from (select license, {form("text")} as c from (values {rows}) as t(license, text)) where c <> '' union all select * from (values {more}) as t(license, digest)),
+known as (select digest, string_agg(distinct license, ' OR ' order by license) as license from forms group by digest),
 split as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text <> ''),
 units as (
   select doc_id, text, i as line, lines[i] as unit from split, unnest(range(1, len(lines) + 1)) as r(i)

@@ -56,6 +56,26 @@ def test_licenses(spark, odd_docs, no_docs):
     licenses.find_licenses(odd_docs, known).count()
 
 
+def test_whole_licenses(spark):
+    """Published texts, changed in what the canonical form levels, are known by their digests; a changed word is not."""
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+    bodies = {n: open(f"{folder}/{n}", encoding="utf-8").read() for n in names}
+    rows = [(n, "Copyright (C) 2031 A. Body\n\n" + b.upper().replace(",", " ,").replace("HTTP:", "HTTPS:").replace("\n", "\r\n  ")) for n, b in bodies.items()]
+    rows += [(f"not {n}", " changed ".join(b.rsplit(" ", 1))) for n, b in bodies.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {rows[r.doc_id][0]: r.whole_text for r in licenses.find_licenses(docs, licenses.known_texts(spark)).collect() if r.whole_text}
+    assert found == names
+
+
+def test_shared_digests(spark):
+    known = licenses.digests(spark.createDataFrame([("B", "Do as you like."), ("A", "do as you LIKE")], "license string, text string"))
+    docs = spark.createDataFrame([(1, "Do as you like!"), (2, "word " * 200_000)], "doc_id long, text string")
+    assert [(r.doc_id, r.whole_text) for r in licenses.find_licenses(docs, known).collect()] == [(1, "A OR B")]
+
+
 def test_url_filter(spark):
     events = [("domain", "bad.example", "add", "2024-01-10"), ("domain", "bad.example", "remove", "2024-02-10"), ("domain", "bad.example", "add", "2024-03-10"), ("host", "x.example", "add", "2024-01-01"), ("host", "x.example", "remove", "2024-01-01"), ("path", "y.example/ads", "add", "2024-01-01"), ("path", "y.example/ads", "add", "2024-01-01"), (None, "z", "add", "2024-01-01")]
     lists = spark.createDataFrame(events, "kind string, value string, action string, day string")
