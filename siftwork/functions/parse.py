@@ -56,7 +56,8 @@ def name(text: Column) -> Column:
         known = lambda w: F.lower(w).isin(_PARTICLES) | w.rlike(r"^\p{Lu}[\p{L}'’.-]*$")
         reads = lambda x: ~x.rlike(_HEADINGS) & ~x.rlike("[0-9@:/|]") & (F.length(x) <= 45) & F.size(F.split(x, " ")).between(2, 5) & F.forall(F.split(x, " "), known)
         first = F.get(F.filter(F.transform(F.slice(ls, 1, 10), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), reads), F.lit(0))
-        return F.coalesce(label, F.when(first == F.upper(first), capitalised(first)).otherwise(first), F.lit(""))
+        shaped = bind(first, lambda f: F.when(f == F.upper(f), capitalised(f)).otherwise(f))
+        return F.coalesce(label, shaped, F.lit(""))
 
     own = bind(lines(text), from_lines)
     mailed = capitalised(F.trim(F.regexp_replace(F.split_part(email(text), F.lit("@"), F.lit(1)), r"[._0-9]+", " ")))
@@ -91,10 +92,15 @@ def location(text: Column, cities: list[str] | None = None, regions: dict[int, s
 
 def languages(text: Column) -> Column:
     """Languages named in the languages section, or with a level anywhere."""
-    low = F.lower(text)
-    section = F.regexp_extract(low, _LANGUAGE_SECTION, 0)
-    hit = lambda ns: section.rlike(f"(?iu){_START}(?:{'|'.join(map(quoted, ns))}){_END}") | low.rlike(rf"(?iu)(?<!\p{{L}})(?:{'|'.join(map(quoted, ns))})\s*[:(\-–]?\s*(?:{_LEVELS})")
-    return F.array_compact(F.array(*[F.when(hit(ns), F.lit(k)) for k, ns in d.LANGUAGES.items()]))
+
+    def of(s: Column) -> Column:
+        low, section = s["low"], s["section"]
+        held = lambda ns: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in ns])
+        hit = lambda ns: section.rlike(f"(?iu){_START}(?:{'|'.join(map(quoted, ns))}){_END}") | low.rlike(rf"(?iu)(?<!\p{{L}})(?:{'|'.join(map(quoted, ns))})\s*[:(\-–]?\s*(?:{_LEVELS})")
+        # A spelling that does not occur at all needs no pattern.
+        return F.array_compact(F.array(*[F.when(held(ns), F.when(hit(ns), F.lit(k))) for k, ns in d.LANGUAGES.items()]))
+
+    return bind(F.lower(text), lambda low: bind(F.struct(low.alias("low"), F.regexp_extract(low, _LANGUAGE_SECTION, 0).alias("section")), of))
 
 
 def written_in(text: Column, stopwords: dict[str, list[str]] | None = None) -> Column:
@@ -125,8 +131,8 @@ def skills(text: Column, extra: list[str] | None = None, known: list[str] | None
         return F.struct(F.when(hit, F.regexp_replace(state["rest"], t["pattern"], F.lit(" "))).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["found"], F.array(t["skill"]))).otherwise(state["found"]).alias("found"))
 
     # Only terms whose text occurs at all are tried, in order.
-    low = F.lower(F.coalesce(text, F.lit("")))
-    likely = F.filter(terms, lambda t: F.contains(F.regexp_replace(low, r"\s+", " "), t["skill"]))
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    likely = bind(low, lambda plain: F.filter(terms, lambda t: F.contains(plain, t["skill"])))
     return F.aggregate(likely, start, step, lambda s: s["found"])
 
 

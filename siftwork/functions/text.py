@@ -95,14 +95,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def _fold(text: Column, seed: int) -> Column:
-    """struct(fnv, poly): two 32-bit hashes of the characters, in 64-bit arithmetic."""
-    codes = F.filter(F.split(text, ""), lambda c: c != "")
+    """struct(fnv, poly): two 32-bit hashes of the UTF-16 units, in 64-bit arithmetic."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    pair = lambda p: F.array((F.lit(0xD800 - 0x40) + F.floor(p / 1024)).cast("int"), F.lit(0xDC00) + p % 1024)
+    units = lambda ps: F.flatten(F.transform(ps, lambda p: F.when(p > 0xFFFF, pair(p)).otherwise(F.array(p))))
+    codes = F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), bind(points, units)).otherwise(points)
     low = F.lit(0xFFFFFFFF).cast("long")
     start = F.struct(F.lit(0x811C9DC5).cast("long").alias("a"), F.lit(seed).cast("long").alias("b"))
 
     def step(s: Column, c: Column) -> Column:
-        x = s["a"].bitwiseXOR(F.ascii(c).cast("long"))
-        return F.struct((x * 16777619).bitwiseAND(low).alias("a"), (s["b"] * 31 + F.ascii(c)).bitwiseAND(low).alias("b"))
+        x = s["a"].bitwiseXOR(c.cast("long"))
+        return F.struct((x * 16777619).bitwiseAND(low).alias("a"), (s["b"] * 31 + c).bitwiseAND(low).alias("b"))
 
     return F.aggregate(codes, start, step)
 

@@ -38,6 +38,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """For milliseconds of work a row: rows of a few large row groups are dealt to all cores; a table that fills them is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     return s.searchable(d.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("tag"), F.col("lang").alias("cv_language"), F.col("n_chars").cast("double").alias("years")))
@@ -332,7 +338,7 @@ def rate_limits(spark, sf_dir):
 
 @_query()
 def generated_scores(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _docs(spark, sf_dir).select("id", "text", "location").transform(_spread)
     score = scoring.generated_score(F.col("text"), F.lit(""), F.when(F.col("id") % 2 == 0, "letter").otherwise("cv"), F.col("location"), F.lit(0.0), phrases=["the", "of the", "and", "de la"])
     return d.select("id", score.alias("r")).select("id", "r.score", "r.level", F.size("r.reasons").alias("n_reasons"), "r.wording")
 
@@ -347,7 +353,7 @@ def tool_scores(spark, sf_dir):
 
 @_query()
 def parsed_documents(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("id", "text")
+    d = _docs(spark, sf_dir).select("id", "text").transform(_spread)
     out = parse.parsed(d, as_of="2026-01-01")
     return out.select("id", "name", "email", "phone", "location", F.array_join("languages", ",").alias("languages"), "cv_language", F.array_join("skills", ",").alias("skills"), "years", "education", "kind", "hash")
 
