@@ -13,6 +13,7 @@ from ..functions import dictionaries as d
 from ..functions.parse import skills as skills_of
 from ..functions.phrases import overlap, phrases
 from ..functions.text import bind, file_stem, found, norm, quoted, title_similarity, title_words
+from .stored import stored
 
 #: Blocking keeps this many smallest phrases of a text, and links at this overlap.
 BLOCK, NEAR = 8, 0.8
@@ -72,17 +73,25 @@ def same_holder(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, text: str = "text", size: int = 4, block: int = BLOCK, near: float = NEAR, stopwords: list[str] | None = None) -> DataFrame:
-    """a, b, overlap for pairs of docs(id, text) that share one of their smallest phrases and at least ``near`` of the smaller set.
+    """a, b, overlap, how: the near copies among docs(id, text), and the exact copies of their phrase sets.
 
-    Equal phrase sets go in once, as their smallest id, so a large group of copies gives one row a member and no pairs; see ``copies_of``.
+    Rows of how 'near' are pairs of representatives that share one of their ``block`` smallest phrases and at least ``near`` of the
+    smaller set.  Equal sets have one representative, their smallest id; rows of how 'copy' give its members, so a large group of
+    copies gives one row a member and no pairs.  Phrases meet as 64-bit hashes, and pairs are ids until they are compared.
     """
-    sets = docs.select("id", phrases(F.col(text), size, stopwords).alias("set")).where(F.size("set") > 0)
-    reps = sets.groupBy(F.array_sort("set").alias("set")).agg(F.min("id").alias("id"))
-    keyed = reps.select("id", F.explode(F.slice("set", 1, block)).alias("key"))
+    hashes = lambda ps: F.transform(ps, lambda p: F.xxhash64(p))
+    found_ = docs.select("id", F.array_sort(phrases(F.col(text), size, stopwords)).alias("set")).where(F.size("set") > 0)
+    sets = stored(found_.select("id", F.md5(F.array_join("set", "\n")).alias("whole"), hashes(F.slice("set", 1, block)).alias("keys"), hashes(F.col("set")).alias("set")), "phrases")
+    first = sets.groupBy("whole").agg(F.min("id").alias("rep"))
+    members = stored(sets.select("id", "whole").join(first, "whole").select("id", "rep"), "members")
+    reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "keys", "set")
+    keyed = reps.select("id", F.explode("keys").alias("key"))
     left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
     pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
     joined = pairs.join(reps.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return joined.select("a", "b", overlap(F.col("sa"), F.col("sb")).alias("overlap")).where(F.col("overlap") >= near)
+    close = joined.select("a", "b", overlap(F.col("sa"), F.col("sb")).alias("overlap")).where(F.col("overlap") >= near)
+    copies = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
+    return close.withColumn("how", F.lit("near")).unionByName(copies.withColumn("how", F.lit("copy")))
 
 
 def copies_of(docs: DataFrame, text: str = "text", size: int = 4, stopwords: list[str] | None = None) -> DataFrame:
@@ -141,10 +150,11 @@ def match_targets(docs: DataFrame, targets: DataFrame, known_skills: list[str] |
     applied = said.groupBy("id").agg(F.min_by(F.struct("tag", "claim"), F.struct(-F.col("s"), "place", "tag")).alias("b")).select("id", F.lit(1).alias("tier"), "b.tag", F.lit("applied").alias("how"), F.concat(F.lit("Says they apply for “"), F.left("b.claim", F.lit(70)), F.lit("”")).alias("why"))
 
     heard = docs.select("id", F.concat_ws("\n", "letter", "head").alias("said"))
-    heard_words = heard.select("id", "said", F.explode(title_words(F.col("said"))).alias("first"))
+    heard_words = heard.select("id", F.explode(title_words(F.col("said"))).alias("first"))
     # A target is looked for only in texts that hold its first title word.
     titled = ads.where(F.size("words") >= 2).select("tag", "title", F.get("words", F.lit(0)).alias("first"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.regexp_replace(F.regexp_replace(F.trim("title"), r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"\s+", r"\\s+"), F.lit(r"(?!\p{L})")).alias("pattern"))
-    named = heard_words.join(titled, "first").where(F.rlike(F.col("said"), F.col("pattern"))).groupBy("id").agg(F.count_distinct("tag").alias("n"), F.min("tag").alias("tag"), F.min("title").alias("title")).where("n = 1")
+    likely = heard_words.join(titled, "first").select("id", "tag", "title", "pattern")
+    named = likely.join(heard, "id").where(F.rlike(F.col("said"), F.col("pattern"))).groupBy("id").agg(F.count_distinct("tag").alias("n"), F.min("tag").alias("tag"), F.min("title").alias("title")).where("n = 1")
     named = named.select("id", F.lit(2).alias("tier"), "tag", F.lit("named").alias("how"), F.concat(F.lit("Names the target “"), "title", F.lit("”")).alias("why"))
 
     wanted = ads.select("tag", skills_of(F.concat_ws("\n", "title", "text"), known=known).alias("want")).where(F.size("want") >= 3)
@@ -163,6 +173,28 @@ def match_targets(docs: DataFrame, targets: DataFrame, known_skills: list[str] |
     return tiers.groupBy("id").agg(F.min_by(F.struct("tag", "how", "why"), "tier").alias("b")).select("id", "b.*")
 
 
+def holders(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """docs(id, email, name) with holder: the own mail address or else name, else those of the résumé it is linked to; empty if none is known."""
+    own = F.coalesce(F.nullif(F.lower(F.trim("email")), F.lit("")), F.nullif(norm(F.col("name")), F.lit("")))
+    of_cv = docs.select(F.col("id").alias("cv_id"), own.alias("_cv_holder"))
+    linked = links.select(F.col("letter_id").alias("id"), "cv_id").join(of_cv, "cv_id").select("id", "_cv_holder")
+    return docs.join(linked, "id", "left").withColumn("holder", F.coalesce(own, "_cv_holder", F.lit(""))).drop("_cv_holder")
+
+
+def with_target_text(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """docs(tag, ...) with target_text from targets(tag, text); empty where a tag has none."""
+    texts = targets.groupBy("tag").agg(F.min("text").alias("target_text"))
+    return docs.join(texts, "tag", "left").withColumn("target_text", F.coalesce("target_text", F.lit("")))
+
+
+def target_list(targets: DataFrame, docs: DataFrame) -> DataFrame:
+    """tag, title, text for every tag of targets(tag, title, text) or docs(tag); the title is the known one or the tag's first part, in the order people expect of names."""
+    tags = targets.select("tag").union(docs.select("tag")).where("tag <> ''").distinct()
+    known = targets.groupBy("tag").agg(F.max("title").alias("title"), F.min("text").alias("text"))
+    listed = tags.join(known, "tag", "left").select("tag", F.coalesce(F.nullif("title", F.lit("")), F.split_part("tag", F.lit(" – "), F.lit(1))).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    return listed.orderBy(F.collate("tag", "UNICODE_CI"), "tag")
+
+
 def resolved_tags(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """docs with tag: the one set by hand, else the matched one unless matching is off for the row."""
     found_ = matches.select("id", F.col("tag").alias("_tag"), F.col("how").alias("tag_how"), F.col("why").alias("tag_why"))

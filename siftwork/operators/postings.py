@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, clean, date_only, hash_id
 from ..plans.search import Term, searchable
+from .stored import stored
 
 LONGEST = 20_000
 
@@ -28,11 +29,12 @@ def deduplicated(postings: DataFrame) -> DataFrame:
     Ids and names alternate as keys until labels settle, so chains are followed; each round is two grouped minima.
     """
     rows = postings.where("title <> ''").withColumn("name_key", F.lower(F.concat_ws("|", "title", "company")))
-    links = rows.select("id", "name_key").distinct().withColumn("label", F.col("id"))
+    links = stored(rows.select("id", "name_key").distinct().withColumn("label", F.col("id")), "labels")
     while True:
         by_name = links.groupBy("name_key").agg(F.min("label").alias("n"))
         by_id = links.join(by_name, "name_key").groupBy("id").agg(F.min("n").alias("m"))
-        after = links.join(by_id, "id").select("id", "name_key", F.col("m").alias("label")).persist()
+        after = links.join(by_id, "id").select("id", "name_key", F.col("m").alias("label"))
+        after = stored(after, "labels")
         changed = after.join(links.withColumnRenamed("label", "old"), ["id", "name_key"]).where("label <> old").limit(1).count()
         links = after
         if not changed:

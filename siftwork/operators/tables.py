@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +74,28 @@ def add_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
     return sources.unionByName(new.dropDuplicates(["url", "type"]).join(sources.select("url", "type"), ["url", "type"], "left_anti"), allowMissingColumns=True)
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """key, value (JSON text) of a key/value table; one that was never written is empty."""
+    try:
+        return spark.read.schema("key string, value string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key string, value string")
+
+
+def setting(table: DataFrame, key: str, kind: str, fallback: object = None) -> object:
+    """The value of one key by its schema, or the fallback."""
+    row = table.where(F.col("key") == key).select(F.from_json("value", f"v {kind}").alias("s")).select("s.v").first()
+    return fallback if row is None or row.v is None else row.v
+
+
+def store_settings(table: DataFrame, values: dict[str, object], path: str) -> None:
+    """Values replace those of their keys; path is another one than the table was read from."""
+    rows = table.sparkSession.createDataFrame([(k, json.dumps({"v": v})) for k, v in values.items()], "key string, value string")
+    upsert(table, rows, "key").write.mode("overwrite").parquet(path)
+
+
 def between(ordered: DataFrame, first: str, last: str, position: str = "position") -> DataFrame:
     """Rows between two ids in a positioned table, either way round."""
     ends = ordered.where(F.col("id").isin(first, last)).agg(F.min(position).alias("_low"), F.max(position).alias("_high"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..functions.dictionaries import ENTITIES
 from ..functions.text import canonical_url, file_stem, hash_id, html_to_text, level, scrubbed, size_bucket, text_hash, title_similarity
 from ..operators import facets, linking, postings, reports, scoring, tables
 from ..operators.intervals import union_length
@@ -109,10 +110,10 @@ def why_empty(spark, sf_dir):
     return s.why_empty(_docs(spark, sf_dir), words=s.word("moron"), place=F.col("tag") == "src3")
 
 
-@_query(f"select doc_id as id, list_filter(['the', 'erand', 'of'], lambda w: case w when 'the' then {_has('the', _ALL)} when 'erand' then {_has('erand', _ALL)} else {_has('of', _ALL)} end)::varchar as matched from documents where n_chars < 3000")
+@_query(f"select doc_id as id, list_filter(['the', 'erand', 'of'], lambda w: case w when 'the' then {_has('the', _ALL)} when 'erand' then {_has('erand', _ALL)} else {_has('of', _ALL)} end)::varchar as matched from documents")
 def matched_terms(spark, sf_dir):
     words = s.Words(tuple(s.Term(w, "word") for w in ("the", "erand", "of")))
-    return _docs(spark, sf_dir).where("years < 3000").select("id", F.concat(F.lit("["), F.array_join(s.matched_terms(words), ", "), F.lit("]")).alias("matched"))
+    return _docs(spark, sf_dir).select("id", F.concat(F.lit("["), F.array_join(s.matched_terms(words), ", "), F.lit("]")).alias("matched"))
 
 
 @_query("select doc_id as id from documents where lang = 'fr' and n_chars >= 1000 and n_chars <= 9000 and source = 'src2'")
@@ -125,9 +126,9 @@ def sorted_top(spark, sf_dir):
     return s.ordered(_docs(spark, sf_dir), "years", descending=True).select("id", "tag", "years").limit(100)
 
 
-@_query("select word, n from (select word, count(*) as n from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}'))) as word from documents) group by word) where n >= 20")
+@_query("select word, count(*) as n from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}'))) as word from documents) group by word")
 def document_frequency(spark, sf_dir):
-    return facets.document_frequency(_docs(spark, sf_dir)).where("n >= 20")
+    return facets.document_frequency(_docs(spark, sf_dir))
 
 
 @_query("select source as tag, count(*) as n from documents where source <> '' group by source")
@@ -152,11 +153,11 @@ def exact_copies(spark, sf_dir):
     return linking.exact_copies(_docs(spark, sf_dir).withColumn("hash", F.md5(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", ""))))
 
 
-@_query("""with f as (select doc_id as id, source as holder, lang as tag, md5(left(text, 3)) as hash from documents)
+@_query("""with f as (select doc_id as id, source as holder, lang as tag, md5(text) as hash from documents)
 select a.id, count(distinct b.tag) as same_holder from f a left join (select distinct holder, tag, hash from f) b on a.holder = b.holder and a.tag <> b.tag and a.hash <> b.hash where a.holder <> '' group by a.id""")
 def same_holder(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    return linking.same_holder(d.select(F.col("doc_id").alias("id"), F.col("source").alias("holder"), F.col("lang").alias("tag"), F.md5(F.left("text", F.lit(3))).alias("hash")))
+    return linking.same_holder(d.select(F.col("doc_id").alias("id"), F.col("source").alias("holder"), F.col("lang").alias("tag"), F.md5("text").alias("hash")))
 
 
 def _shingles(table: str, key: str) -> str:
@@ -167,12 +168,13 @@ def _shingles(table: str, key: str) -> str:
   from (select {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from {table}))"""
 
 
-@_query(f"""with sets as (select min(id) as id, grams from (select id, list_sort(grams) as grams from {_shingles("documents", "doc_id")} where len(grams) > 0) group by grams),
+@_query(f"""with every as (select id, list_sort(grams) as grams from {_shingles("documents", "doc_id")} where len(grams) > 0), sets as (select min(id) as id, grams from every group by grams),
 keys as (select id, unnest(grams[1:8]) as key from sets), pairs as (select distinct a.id as a, b.id as b from keys a join keys b using (key) where a.id < b.id)
-select a, b, round(overlap, 9) as overlap from (select a, b, len(list_intersect(x.grams, y.grams)) / least(len(x.grams), len(y.grams)) as overlap from pairs join sets x on x.id = a join sets y on y.id = b) where overlap >= 0.8""")
+select a, b, round(overlap, 9) as overlap, 'near' as how from (select a, b, len(list_intersect(x.grams, y.grams)) / least(len(x.grams), len(y.grams)) as overlap from pairs join sets x on x.id = a join sets y on y.id = b) where overlap >= 0.8
+union all select sets.id, every.id, 1.0, 'copy' from every join sets using (grams) where every.id <> sets.id""")
 def near_copies(spark, sf_dir):
-    pairs = linking.near_copies(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return pairs.select("a", "b", F.round("overlap", 9).alias("overlap"))
+    pairs = linking.near_copies(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").transform(_spread))
+    return pairs.select("a", "b", F.round("overlap", 9).alias("overlap"), "how")
 
 
 @_query(f"""with d as (select id, unnest(grams) as g from {_shingles("documents", "doc_id")}), b as (select id as tag, unnest(grams) as g from {_shingles("benchmark", "item_id")})
@@ -182,13 +184,27 @@ def copied_phrases(spark, sf_dir):
     return linking.copied_phrases(docs, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("tag"), "text"))
 
 
-_TEXT_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(
-  replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'),
-  '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|ul|ol)>', chr(10), 'g'), '(?i)<li[^>]*>', '• ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'),
-  '[ \t\x{{00A0}}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || chr(13) || ' ')"""
+def _decoded_sql(text: str) -> str:
+    """Character references in SQL: numbers, then names in the order of the table."""
+    out = rf"""list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '&#[0-9]{{1,7}};'))), lambda acc, m: replace(acc, m, case when m[3:-2]::int between 1 and 1114111 and m[3:-2]::int not between 55296 and 57343 then chr(m[3:-2]::int) else m end))"""
+    for name, mark in ENTITIES.items():
+        quote = mark.replace("'", "''")
+        out = f"regexp_replace({out}, '(?i)&{name};', '{quote}', 'g')"
+    return out
 
 
-@_query(f"select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_TEXT_SQL.format('html')} as t from pages)")
+def _text_sql(html: str) -> str:
+    """html_to_text in SQL, for pages that are not escaped as a whole."""
+    out = html
+    for pattern, by in ((r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>|<svg.*?</svg>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), ("(?i)</(p|div|li|h[1-6]|tr|section|ul|ol)>", "chr(10)"), ("(?i)<li[^>]*>", "'• '"), ("<[^>]+>", "' '")):
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    out = f"(select {_decoded_sql('x')} from (select {out} as x))"
+    for pattern, by in ((r"[ \t\x{00A0}]+", "' '"), (r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")):
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    return f"trim({out}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+
+
+@_query(f"select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_text_sql('html')} as t from pages)")
 def html_text(spark, sf_dir):
     text = html_to_text(F.col("html"))
     return _table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
@@ -201,8 +217,24 @@ def canonical_addresses(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("address"))
 
 
-@_query(f"""with p as (select url, {_TEXT_SQL.format("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<header.*?</header>', ' ', 'g'), '(?is)<nav.*?</nav>', ' ', 'g'), '(?is)<footer.*?</footer>', ' ', 'g')")} as text,
-  split_part({_TEXT_SQL.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, chr(10), 1) as title from pages)
+_ADDRESS_SQL = r"""(select page_id, url, lower(regexp_replace(base, '/$', '') || case when q <> '' then '?' || q else '' end) as address from (
+  select page_id, url, regexp_replace(regexp_extract(trim(url), '^([^?#]*)', 1), '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$', '\1/') as base,
+  array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(regexp_extract(q, '^([^=]*)', 1)), '^(utm_.*|trk|trkinfo|ref|refid|referrer|trackingid|from|src|source|position|pagenum|origin|gclid|fbclid|mc_[a-z]+|sid|lipi)$')), '&') as q from pages))"""
+
+
+def _hash_sql(text: str) -> str:
+    """j and two 32-bit folds of a text's characters in base 36."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::bigint)"
+    a = f"list_reduce(list_prepend(2166136261::bigint, {codes}), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+    b = f"list_reduce(list_prepend(7::bigint, {codes}), lambda h, c: (h * 31 + c) & 4294967295)"
+    return f"'j' || lower(to_base({a}, 36)) || lower(to_base({b}, 36))"
+
+
+_POSTINGS_SQL = f"""(select url, {_text_sql("regexp_replace(html, '(?is)<header.*?</header>|<nav.*?</nav>|<footer.*?</footer>', ' ', 'g')")} as text,
+  split_part({_text_sql("coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")}, chr(10), 1) as title from pages)"""
+
+
+@_query(f"""with p as {_POSTINGS_SQL}
 select url, title, md5(text) as digest from p where title <> '' and regexp_matches(text, '(?i)(thing|eaux)')""")
 def pages_as_postings(spark, sf_dir):
     rows = found_postings.page_postings(_table(spark, sf_dir, "pages"), cues="(?i)(thing|eaux)")
@@ -272,14 +304,14 @@ def covered_minutes(spark, sf_dir):
     return union_length(spans, "user_id", "a", "b")
 
 
-@_query("""with k as (select page_id, url from pages where page_id % 2 = 0), f as (select page_id, url from pages where page_id % 3 = 0)
+@_query("""with k as (select page_id, url from pages where page_id % 2 = 0), f as (select page_id, url from pages where page_id % 2 = 1 or page_id % 3 = 0)
 select coalesce(f.page_id, k.page_id) as id, coalesce(f.url, k.url) as url, k.page_id is null as is_new, case when k.page_id is null then '2024-02-01' else '2024-01-01' end as first_seen, case when f.page_id is null then '2024-01-01' else '2024-02-01' end as last_seen,
   case when k.page_id is null then 'b' when f.page_id is null then 'a' else 'a,b' end as searched_for, k.page_id is not null and k.page_id % 8 = 0 as hidden from k full join f on k.page_id = f.page_id""")
 def merged_postings(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     old = F.lit("2024-01-01").cast("timestamp")
     known = pages.where("id % 2 = 0").select("id", "url", F.array(F.lit("a")).alias("searched_for"), old.alias("first_seen"), old.alias("last_seen"), (F.col("id") % 8 == 0).alias("hidden"))
-    out = postings.merged(known, pages.where("id % 3 = 0").withColumn("searched_for", F.array(F.lit("b"))), "2024-02-01")
+    out = postings.merged(known, pages.where("id % 2 = 1 or id % 3 = 0").withColumn("searched_for", F.array(F.lit("b"))), "2024-02-01")
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return out.select("id", "url", "is_new", day("first_seen"), day("last_seen"), F.array_join("searched_for", ",").alias("searched_for"), "hidden")
 
@@ -296,11 +328,11 @@ def upserted(spark, sf_dir):
 _EMPTY = '""'
 
 
-@_query(f"""select 1 as at, '"' || replace('n' || doc_id, '"', '""') || '",{",".join([_EMPTY] * 5)},"' || lang || '",{_EMPTY},"' || n_chars::double || '",{",".join([_EMPTY] * 6)},"' || source || '",{",".join([_EMPTY] * 2)},"' || replace(left(text, 40), '"', '""') || '",{_EMPTY},{_EMPTY}' as line from documents
+@_query(f"""select 1 as at, '"' || replace('n' || doc_id, '"', '""') || '",{",".join([_EMPTY] * 5)},"' || lang || '",{_EMPTY},"' || n_chars::double || '",{",".join([_EMPTY] * 6)},"' || source || '",{",".join([_EMPTY] * 2)},"' || replace(text, '"', '""') || '",{_EMPTY},{_EMPTY}' as line from documents
 union all select 0, chr(65279) || '{",".join(f'"{t}"' for t, _ in reports.EXPORT)}'""")
 def csv_export(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    rows = d.select(F.concat(F.lit("n"), "doc_id").alias("name"), F.col("lang").alias("cv_language"), F.col("n_chars").cast("double").alias("years"), F.col("source").alias("tag"), F.left("text", F.lit(40)).alias("file_name"))
+    rows = d.select(F.concat(F.lit("n"), "doc_id").alias("name"), F.col("lang").alias("cv_language"), F.col("n_chars").cast("double").alias("years"), F.col("source").alias("tag"), F.col("text").alias("file_name"))
     return reports.csv_lines(rows)
 
 
@@ -330,7 +362,11 @@ def did_you_mean(spark, sf_dir):
     return s.suggestions(_table(spark, sf_dir, "documents"), "thesonou")
 
 
-@_query()
+@_query("""with recursive e as (select user_id as caller, event_id as call_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select caller, call_id, n, [us] as recent, true as allowed from e where n = 1
+  union all select caller, call_id, n, case when len(left_) < 3 then list_append(left_, us) else left_ end, len(left_) < 3
+  from (select e.caller, e.call_id, e.n, e.us, list_filter(r.recent, lambda x: x > e.us - 21600000000) as left_ from r join e on e.caller = r.caller and e.n = r.n + 1))
+select caller, call_id, allowed from r""")
 def rate_limits(spark, sf_dir):
     calls = _table(spark, sf_dir, "events").select(F.col("user_id").alias("caller"), F.col("event_id").alias("call_id"), "ts")
     return limits.rate_limited(calls, limit=3, window_s=6 * 3600)
@@ -358,7 +394,13 @@ def parsed_documents(spark, sf_dir):
     return out.select("id", "name", "email", "phone", "location", F.array_join("languages", ",").alias("languages"), "cv_language", F.array_join("skills", ",").alias("skills"), "years", "education", "kind", "hash")
 
 
-@_query()
+# Postings of pages have no company, so equal titles make one ad; chains are followed by labels along shared ids and titles.
+@_query(rf"""with recursive k as (select *, {_hash_sql("address")} as id from (select p.url, trim(regexp_replace(p.title, '\s+', ' ', 'g')) as title, left(p.text, 20000) as text, a.address from {_POSTINGS_SQL} p join {_ADDRESS_SQL} a using (url) where p.title <> '' and p.text <> '')),
+l as (select distinct id, lower(title) as name from k),
+r as (select id, id as label from l union select b.id, r.label from r join l a on a.id = r.id join l b on b.name = a.name),
+m as (select id, min(label) as label from r group by id),
+best as (select label, arg_max(struct_pack(title := title, url := url, n := length(text)), struct_pack(n := length(text), id := k.id)) as b from k join m using (id) group by label)
+select label as id, b.title as title, b.url as url, b.n as n_chars from best""")
 def deduplicated_postings(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
     rows = found_postings.page_postings(pages, cues="(?s).")
@@ -375,17 +417,23 @@ def matched_targets(spark, sf_dir):
     return linking.match_targets(rows, targets, known_skills=SKILLS)
 
 
-@_query()
+@_query(rf"""select page_id, {_hash_sql("address")} as id,
+  trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_extract(url, '([^/]+)$', 1), '(?i)\.[a-z0-9]+$', '')), '[^a-z0-9@.]+', ' ', 'g')),
+  '\b(cv|resume|curriculum|vitae|cover|letter|motivation|motivatie|motivatiebrief|sollicitatiebrief|brief|final|def|v\d+|nl|en|\d+)\b', ' ', 'g'), '\s+', ' ', 'g')) as stem from {_ADDRESS_SQL}""")
 def hash_ids(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", hash_id(canonical_url(F.col("url"))).alias("id"), file_stem(F.regexp_extract("url", "([^/]+)$", 1)).alias("stem"))
 
 
-@_query()
+# The links of the tables' pages have no numbers, which those of single postings need: they get the page's.
+@_query(r"""with h as (select url, page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref=["''](/[^"''#]+)', 1))) as href from pages),
+l as (select url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/jobs/' || page_id || '-' || href[2:] as link from h)
+select url, link from l where not regexp_matches(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '(?i)\b(login|signin|apply|solliciteer|privacy|cookie|contact)\b')""")
 def page_links(spark, sf_dir):
-    return found_postings.job_links(_table(spark, sf_dir, "pages"), pattern="/")
+    numbered = F.regexp_replace(F.col("html"), F.lit('href="/'), F.concat(F.lit('href="/jobs/'), "page_id", F.lit("-")))
+    return found_postings.job_links(_table(spark, sf_dir, "pages").withColumn("html", numbered))
 
 
-@_query()
+@_query("select doc_id as id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w in ('the', 'of'))) as n_marks from documents")
 def highlights(spark, sf_dir):
     words = s.Words(tuple(s.Term(w, "word") for w in ("the", "of")))
     d = _docs(spark, sf_dir)
