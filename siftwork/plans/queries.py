@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as d
 from ..functions import parse
 from ..functions.dictionaries import ENTITIES
 from ..functions.text import canonical_url, file_stem, hash_id, html_to_text, level, scrubbed, size_bucket, text_hash, title_similarity
@@ -372,18 +373,77 @@ def rate_limits(spark, sf_dir):
     return limits.rate_limited(calls, limit=3, window_s=6 * 3600)
 
 
-@_query()
+def _tokens_sql(text: str) -> str:
+    """Words, white space and the rest between them, in order."""
+    return rf"regexp_extract_all(lower({text}), '\p{{L}}+|\s+|[^\p{{L}}\s]+')"
+
+
+_LETTERS = r"len(regexp_extract_all({}, '\p{{L}}+'))"
+_SPREAD = "case when len({0}) < 2 or list_avg({0}) = 0 then 1 else list_stddev_pop({0}) / list_avg({0}) end"
+#: The signals of generated_score that read a text alone, for texts without a place, a producer or years of work.
+_GENERATED_SQL = rf"""with t as (select doc_id as id, text, doc_id % 2 = 0 as letter, greatest({_LETTERS.format("text")}, 1) as n, {_tokens_sql("text")} as ts from documents),
+u as (select *, (len(list_filter(ts, lambda x: x in ('the', 'and'))) + len(list_filter(range(1, len(ts) - 1), lambda i: trim(ts[i + 1], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' and (ts[i] = 'of' and ts[i + 2] = 'the' or ts[i] = 'de' and ts[i + 2] = 'la')))) / n * 100 as per100,
+  len(regexp_extract_all(text, '(?i)(^|[^\p{{L}}])\p{{L}}[\p{{L}}''’ -]{{0,40}}?,\s+\p{{L}}[\p{{L}}''’ -]{{0,40}}?,?\s+(?:and|en)\s+\p{{L}}+')) as triplets,
+  len(regexp_extract_all(text, '(?i)\byour (organi[sz]ation|company|team|firm|business)\b')) as generic,
+  len(list_filter(list_zip(regexp_extract_all(text, {{rounds}}, 1), regexp_extract_all(text, {{rounds}}, 2)), lambda m: try_cast(m[1] || m[2] as int) % 5 = 0)) as metrics,
+  len(regexp_extract_all(text, '—')) as dashes,
+  list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_LETTERS.format("x")}), lambda k: k >= 4) as sentences,
+  list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {_LETTERS.format("x")}), lambda k: k >= 25) as paragraphs,
+  list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[•▪●◦\-*–]\s+\S')), lambda x: length(x)) as bullets,
+  {{left_over}} as left_over, regexp_matches(text, '(?im)^\s*(dear (hiring manager|hiring team|recruit(er|ment team)|sir or madam|sir/madam)|to whom it may concern|geachte heer/mevrouw|geachte heer of mevrouw|geachte lezer)\b') as greeted from t),
+p as (select id, per100, [least(case when letter then 60 else 40 end, greatest(0, per100 - 0.4) * 22),
+  case when triplets >= 3 then least(case when letter then 15 else 8 end, (triplets / n * 100 - 0.5) * case when letter then 10 else 8 end) end,
+  case when letter and generic >= 2 then least(10, generic * 2.5) end, case when letter and greeted then 4 end, case when metrics > 0 then least(8, metrics * 4) end, least(12, dashes / n * 1000 * 1.5),
+  case when len(sentences) >= 8 then least(15, (0.45 - {_SPREAD.format("sentences")}) * 60) end,
+  case when letter and len(paragraphs) >= 4 then least(6, (0.3 - {_SPREAD.format("paragraphs")}) * 40) end,
+  case when len(bullets) >= 6 then least(10, (0.3 - {_SPREAD.format("bullets")}) * 50) end,
+  case when left_over > 0 then least(60, 45 + 10 * (left_over - 1)) end] as points from u),
+k as (select id, per100, list_filter(points, lambda x: x > 0) as ps from p), r as (select *, least(100, floor(coalesce(list_sum(ps), 0) + 0.5))::int as score from k)
+select id, score, case when score >= 55 then 'high' when score >= 25 then 'medium' else 'low' end as level, len(ps)::int as n_reasons, floor(per100 * 10 + 0.5) / 10 as wording from r"""
+
+
+def _generated_sql() -> str:
+    sql = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    left_over = " + ".join(f"regexp_matches(text, {sql('(?i)' + p)})::int" for p in d.PLACEHOLDERS)
+    return _GENERATED_SQL.replace("{rounds}", sql(scoring._ROUND)).replace("{left_over}", left_over)
+
+
+@_query(_generated_sql())
 def generated_scores(spark, sf_dir):
     d = _docs(spark, sf_dir).select("id", "text", "location").transform(_spread)
     score = scoring.generated_score(F.col("text"), F.lit(""), F.when(F.col("id") % 2 == 0, "letter").otherwise("cv"), F.col("location"), F.lit(0.0), phrases=["the", "of the", "and", "de la"])
     return d.select("id", score.alias("r")).select("id", "r.score", "r.level", F.size("r.reasons").alias("n_reasons"), "r.wording")
 
 
-@_query()
+#: Documents with every trace that the score reads, spread over ids.
+_TOOL_DOCS = {
+    "text": "text || case when doc_id % 9 = 0 then '\nAn ATS friendly text, based on the job description.' else '' end || case when doc_id % 11 = 0 then '\nKeywords: ' || repeat('plan, ', 24) || 'sell' else '' end || case when doc_id % 13 = 0 then '\nI want the Sales Manager position.' else '' end",
+    "kind": "case when doc_id % 2 = 0 then 'letter' else 'cv' end",
+    "producer": "case when doc_id % 7 = 0 then 'LazyApply 2.1' else 'Writer' end",
+    "file_name": "case when doc_id % 5 = 0 then 'x_tailored.pdf' else 'x.pdf' end",
+    "target_text": "case when doc_id % 10 = 0 then left(text, 300) else 'A nurse is wanted' end",
+    "hidden_words": "cast(doc_id % 40 as int)",
+    "same_holder": "cast(doc_id % 4 as int)",
+    "similar_letters": "cast(doc_id % 3 as int)",
+    "same_letter_targets": "cast(doc_id % 6 as int)",
+}
+_TOOL_TABLE = "(select doc_id, text as plain, " + ", ".join(f"{v} as {k}" for k, v in _TOOL_DOCS.items()) + " from documents)"
+
+
+@_query(rf"""with t as {_TOOL_TABLE.replace(chr(10), "' || chr(10) || '")},
+c as (select a.id, len(list_intersect(a.grams, b.grams)) as copied from {_shingles("t", "doc_id")} a join {_shingles("(select doc_id, target_text as text from t)", "doc_id")} b on a.id = b.id),
+w as (select doc_id, count(*) over (partition by regexp_replace(lower(plain), '[^\p{{L}}\p{{N}}]+', '', 'g')) - 1 as duplicates from t),
+p as (select t.doc_id as id, [case when copied >= 4 then least(70, 14 + (copied - 4) * 4) end, case when same_holder > 0 then least(40, 22 + 8 * (same_holder - 1)) end, case when duplicates > 0 then least(30, 18 + 6 * duplicates) end,
+  case when hidden_words >= 10 then least(45, 22 + hidden_words / 5) end, case when doc_id % 7 = 0 then 35 end, case when doc_id % 5 = 0 then 15 end, case when doc_id % 9 = 0 then 30 end, case when doc_id % 11 = 0 then 20 end,
+  case when kind = 'letter' and same_letter_targets > 0 then least(45, 30 + 8 * (same_letter_targets - 1)) end, case when kind = 'letter' and similar_letters > 0 then least(40, 25 + 5 * similar_letters) end, case when kind = 'letter' and doc_id % 13 = 0 then 30 end]::double[] as points
+  from t join c on c.id = t.doc_id join w using (doc_id)),
+k as (select id, list_filter(points, lambda x: x > 0) as ps from p), r as (select *, least(100, floor(coalesce(list_sum(ps), 0) + 0.5))::int as score from k)
+select id, score, case when score >= 55 then 'high' when score >= 25 then 'medium' else 'low' end as level, len(ps)::int as n_reasons from r""")
 def tool_scores(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("hash", text_hash(F.col("text")))
-    copies = linking.exact_copies(docs)
-    rows = docs.join(copies, "id").withColumn("kind", F.lit("cv"))
+    table = _table(spark, sf_dir, "documents")
+    docs = table.select(F.col("doc_id").alias("id"), *[F.expr(v.replace("\n", "\\n")).alias(k) for k, v in _TOOL_DOCS.items()])
+    copies = linking.exact_copies(table.select(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("hash")))
+    rows = docs.join(copies, "id")
     return rows.select("id", scoring.sent_by_tool_score(rows).alias("r")).select("id", "r.score", "r.level", F.size("r.reasons").alias("n_reasons"))
 
 
@@ -394,6 +454,42 @@ def parsed_documents(spark, sf_dir):
     return out.select("id", "name", "email", "phone", "location", F.array_join("languages", ",").alias("languages"), "cv_language", F.array_join("skills", ",").alias("skills"), "years", "education", "kind", "hash")
 
 
+#: Documents as profiles: a head that spreads every parsed column over ids, then the text.
+_PROFILE = r"""'Name: Ada ' || source || case when doc_id % 3 = 0 then '\nWoonplaats: Utrecht' when doc_id % 3 = 1 then '\nLocation: Main street 4, Spring' || lang else '\nAddress: 3511 AB' end
+  || '\nada.' || source || '@mail.example | +31 6 1234' || lpad(cast(doc_id % 10000 as string), 4, '0') || '\nlinkedin.com/in/ada-' || source
+  || '\nSkills: Python, SQL' || case when doc_id % 2 = 0 then ', machine learning' else '' end || '\nWerkervaring\n2010 - 2015 A\n01/2012 - 01/' || cast(2016 + doc_id % 5 as string) || ' B\nOpleiding\n1990 - 2009 school'
+  || case when doc_id % 4 = 0 then '\nPhD' when doc_id % 4 = 1 then '\nMBO' else '' end || '\nTalen: Engels' || case when doc_id % 5 = 0 then ', Duits' else '' end || repeat('\n-', 210) || '\n' || text"""
+_PROFILE_SQL = _PROFILE.replace("\\n", "\n").replace("as string", "as varchar")
+
+
+def _profile_sql() -> str:
+    stop = {k: f"len(list_filter(ws, lambda w: w in ({', '.join(repr(w) for w in ws)})))" for k, ws in d.STOPWORDS.items()}
+    levels = " ".join(f"when regexp_matches(lower(clean), '{p}') then '{name}'" for name, p in parse._EDUCATION)
+    first = " ".join(f"when {k.lower()} = greatest({', '.join(stop).lower()}) then '{k}'" for k in stop)
+    units = r"regexp_replace(lower(profile), '[^\p{L}\p{N}]+', '', 'g')"
+    codes = "list_transform(list_filter(string_split(u, ''), lambda c: c <> ''), lambda c: unicode(c)::bigint)"
+    fold = lambda seed, step: f"upper(to_hex(list_reduce(list_prepend({seed}::bigint, {codes}), lambda h, c: ({step}) & 4294967295)))"
+    count = lambda pattern: f"len(regexp_extract_all(profile, '{pattern}'))"
+    has = lambda pattern, text="profile": f"regexp_matches({text}, '{pattern}')::int"
+    return rf"""with t as (select doc_id, source, lang, {_PROFILE_SQL} as profile from documents where text is not null),
+v as (select *, regexp_replace(replace(profile, chr(13), ''), '[ \t\x{{00A0}}]+', ' ', 'g') as clean, {units} as u, list_filter(list_transform(string_split(profile, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from t),
+w as (select *, regexp_extract_all(lower(clean), '\p{{L}}+') as ws from v), c as (select *, {", ".join(f"{n} as {k.lower()}" for k, n in stop.items())},
+  3 * {has(parse._GREETING)} + 3 * {has(parse._CLOSING.replace("(?imu)", "(?im)"))} + 2 * {has(parse._LETTER_WORDS, "left(profile, 600)")} + 2 * (len(list_filter(ls, lambda x: length(x) > 120)) / len(ls) > 0.3)::int as letter,
+  least(4, {count(parse._DATE_RANGE)}) + least(4, 2 * {count(parse._CV_HEADINGS)}) + 2 * (len(list_filter(ls, lambda x: regexp_matches(x, '^[•▪●◦\-*–]\s'))) >= 4)::int as cv from w)
+select doc_id as id, 'Ada ' || source as name, 'ada.' || source || '@mail.example' as email, '+31 6 1234' || lpad((doc_id % 10000)::varchar, 4, '0') as phone, 'linkedin.com/in/ada-' || source as linkedin,
+  case doc_id % 3 when 0 then 'Utrecht' when 1 then 'Spring' || lang else 'Utrecht (regio)' end as location, 'English' || case when doc_id % 5 = 0 then ',German' else '' end as languages,
+  case when greatest({", ".join(stop).lower()}) < 3 then '' {first} end as cv_language, case when doc_id % 2 = 0 then 'machine learning,' else '' end as ml, ((2016 + doc_id % 5) - 2010)::double as years,
+  case {levels} else '' end as education, case when letter >= 4 and letter > cv then 'letter' else 'cv' end as kind, {fold(2166136261, "xor(h, c) * 16777619")} || {fold(0, "h * 31 + c")} as hash from c"""
+
+
+@_query(_profile_sql())
+def parsed_profiles(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("text is not null").transform(_spread).select(F.col("doc_id").alias("id"), F.expr(_PROFILE).alias("text"))
+    out = parse.parsed(docs, as_of="2026-01-01", extra_skills=None)
+    ml = F.when(F.array_contains("skills", "machine learning"), "machine learning,").otherwise("")
+    return out.select("id", "name", "email", "phone", "linkedin", "location", F.array_join("languages", ",").alias("languages"), "cv_language", ml.alias("ml"), "years", "education", "kind", F.upper("hash").alias("hash"))
+
+
 # Postings of pages have no company, so equal titles make one ad; chains are followed by labels along shared ids and titles.
 @_query(rf"""with recursive k as (select *, {_hash_sql("address")} as id from (select p.url, trim(regexp_replace(p.title, '\s+', ' ', 'g')) as title, left(p.text, 20000) as text, a.address from {_POSTINGS_SQL} p join {_ADDRESS_SQL} a using (url) where p.title <> '' and p.text <> '')),
 l as (select distinct id, lower(title) as name from k),
