@@ -54,17 +54,23 @@ barcelona, lisbon, lissabon, dublin, warsaw, warschau, krakow, bucharest, boekar
 """)
 
 # The region of the first two postcode digits, from 10 to 99.
-POSTCODE_REGIONS = dict(enumerate(_listed("""
-amsterdam, amsterdam, hilversum, almere, purmerend, zaandam, hoorn, den helder, alkmaar, haarlem,
-haarlem, hoofddorp, leiden, leiden, alphen aan den rijn, den haag, delft, zoetermeer, gouda, capelle aan den ijssel,
-rotterdam, schiedam, spijkenisse, dordrecht, nieuwegein, utrecht, utrecht, zeist, amersfoort, veenendaal,
-tiel, culemborg, gorinchem, middelburg, goes, terneuzen, bergen op zoom, roosendaal, breda, oosterhout,
-tilburg, tilburg, den bosch, oss, uden, eindhoven, eindhoven, helmond, venlo, venlo,
-weert, sittard, maastricht, heerlen, heerlen, nijmegen, wijchen, ede, arnhem, arnhem,
-doetinchem, winterswijk, zutphen, apeldoorn, deventer, enschede, almelo, hardenberg, emmen, hoogeveen,
-zwolle, raalte, lelystad, emmeloord, heerenveen, joure, sneek, bolsward, harlingen, leeuwarden,
-leeuwarden, dokkum, drachten, groningen, assen, stadskanaal, hoogezand, groningen, groningen, delfzijl
-"""), start=10))
+POSTCODE_REGIONS = {
+    10: "amsterdam", 11: "amsterdam", 12: "hilversum", 13: "almere", 14: "purmerend", 15: "zaandam",
+    16: "hoorn", 17: "den helder", 18: "alkmaar", 19: "haarlem", 20: "haarlem", 21: "hoofddorp",
+    22: "leiden", 23: "leiden", 24: "alphen aan den rijn", 25: "den haag", 26: "delft", 27: "zoetermeer",
+    28: "gouda", 29: "capelle aan den ijssel", 30: "rotterdam", 31: "schiedam", 32: "spijkenisse", 33: "dordrecht",
+    34: "nieuwegein", 35: "utrecht", 36: "utrecht", 37: "zeist", 38: "amersfoort", 39: "veenendaal",
+    40: "tiel", 41: "culemborg", 42: "gorinchem", 43: "middelburg", 44: "goes", 45: "terneuzen",
+    46: "bergen op zoom", 47: "roosendaal", 48: "breda", 49: "oosterhout", 50: "tilburg", 51: "tilburg",
+    52: "den bosch", 53: "oss", 54: "uden", 55: "eindhoven", 56: "eindhoven", 57: "helmond",
+    58: "venlo", 59: "venlo", 60: "weert", 61: "sittard", 62: "maastricht", 63: "heerlen",
+    64: "heerlen", 65: "nijmegen", 66: "wijchen", 67: "ede", 68: "arnhem", 69: "arnhem",
+    70: "doetinchem", 71: "winterswijk", 72: "zutphen", 73: "apeldoorn", 74: "deventer", 75: "enschede",
+    76: "almelo", 77: "hardenberg", 78: "emmen", 79: "hoogeveen", 80: "zwolle", 81: "raalte",
+    82: "lelystad", 83: "emmeloord", 84: "heerenveen", 85: "joure", 86: "sneek", 87: "bolsward",
+    88: "harlingen", 89: "leeuwarden", 90: "leeuwarden", 91: "dokkum", 92: "drachten", 93: "groningen",
+    94: "assen", 95: "stadskanaal", 96: "hoogezand", 97: "groningen", 98: "groningen", 99: "delfzijl",
+}
 
 # Languages with their spellings.
 LANGUAGES = {
