@@ -1,6 +1,9 @@
 """Secret scan: pattern candidates, then a random forest that removes false positives.
 
-Candidates are unbroken runs of token characters with a digit and a letter.
+Candidates are unbroken runs of SHORTEST or more token characters with a digit
+and a letter (an equals sign only ends one, as padding), and whatever stands
+without white space or quotes, SHORT characters or more, behind a word that
+names a secret and an assignment mark.
 Features: length, shares of character classes, class transitions, distinct
 characters, longest repeat, dictionary coverage, path and file marks, and the
 words before and after.  The forest is trained on labelled findings (a bounded,
@@ -27,12 +30,14 @@ from .shared import materialize
 
 #: Labelled findings for training; a bound on the sample, not on the data.
 TRAINED = 3000
-SHORTEST = 16
-_CHARS = "A-Za-z0-9+/_=.-"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[{_CHARS}]{{{SHORTEST},}}+"
+SHORTEST, SHORT = 16, 8
+_CHARS = "A-Za-z0-9+/_.-"
+CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])[{_CHARS}]{{{SHORTEST},}}+={{0,2}}"
 #: Words that name secrets and words that name harmless values (fixed values).
 SECRET_WORDS = "token|secret|passw(?:or)?d|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|credential|auth|bearer|client[_ -]?secret|signature"
 HARMLESS_WORDS = "sha(?:1|256|512)?|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|version|build|integrity|fingerprint|file|path|url|href|src|example|sample|placeholder|doi|isbn|order|invoice|ref(?:erence)?"
+#: A secret's name, an assignment and the value (group 1).
+ASSIGNED = rf"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,24}}[\"'`]?[ \t]{{0,3}}(?:=>|:=|=|:)[ \t]{{0,3}}[\"'`]?([^\s\"'`]{{{SHORT},}})"
 #: Common parts of identifiers, for the dictionary coverage (fixed values).
 DICTIONARY = "account|admin|application|archive|article|backup|button|cache|class|client|code|color|column|com|config|container|content|count|data|database|date|default|document|download|element|email|error|event|example|field|file|first|form|format|function|group|handler|height|home|html|http|image|index|info|input|item|key|label|last|layout|left|length|level|library|link|list|load|local|login|main|manager|message|method|model|module|name|network|node|number|object|option|order|output|page|param|path|photo|position|primary|product|project|public|query|record|release|report|request|response|result|right|root|sample|script|search|section|select|server|service|session|size|source|start|state|static|status|string|style|system|table|target|task|template|test|text|thread|time|title|type|update|upload|user|value|version|video|view|widget|width|window|www"
 #: Shapes that providers give their keys (fixed values).
@@ -49,7 +54,7 @@ def _features(value: Column, before: Column, after: Column) -> list[Column]:
     yes = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     near = F.lower(before)
     found = {
-        "size": F.least(n, F.lit(256.0)),
+        "size": n,
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
@@ -97,6 +102,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED, seed: str = "train"
         cased, cased, F.substring(cased, 1, 32), text("h6", hexes, 64), F.concat(F.lit("AKIA"), F.upper(text("a", alnum, 16))), F.concat(F.lit("ghp_"), text("g", alnum, 36)),
         F.concat(F.lit("sk_live_"), text("s", alnum, 24)), F.concat(F.lit("xoxb-"), text("x1", "0123456789", 11), F.lit("-"), text("x2", alnum, 24)), text("b", base64, 40), F.concat(text("b2", base64, 43), F.lit("=")),
         F.concat(F.lit("AIza"), text("z", alnum + "-_", 35)), F.concat(F.lit("eyJ"), text("e", alnum, 24), F.lit("."), text("e2", alnum, 40)), text("p", alnum, 20 + number("len", 20)),
+        text("q", alnum + "!#%&*?@$^", 8 + number("len", 8)), text("q2", alnum, 8 + number("len", 8)), text("q3", alnum[:52], 12 + number("len", 8)),
     )
     names = ["token", "secret", "password", "api_key", "apikey", "access_key", "client_secret", "private_key", "auth_token", "Authorization: Bearer", "passwd", "credential"]
     opens = [' = "', "=", ': "', ": ", " = '", '="', "=> '", " "]
@@ -107,10 +113,10 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED, seed: str = "train"
     close = F.array(*[F.lit('"' if '"' in o else "'" if "'" in o else "") for o in opens])[k]
     tail = choose("tail", [" and", "\n", "", ";", " the", "### in", "*** of"])
     bare = number("bare", 8) == 0
-    has_shape = F.array(*[F.lit(i in (4, 5, 6, 7, 10, 11)) for i in range(13)])[number("kind", 13)]
+    has_shape = F.array(*[F.lit(i in (4, 5, 6, 7, 10, 11)) for i in range(16)])[number("kind", 16)]
     positive = F.struct(
         F.when(bare & has_shape, lead).otherwise(F.concat(lead, name, F.array(*map(F.lit, opens))[k])).alias("before"),
-        F.get(secrets, number("kind", 13)).alias("value"),
+        F.get(secrets, number("kind", 16)).alias("value"),
         F.when(bare & has_shape, tail).otherwise(F.concat(close, tail)).alias("after"),
     )
     part = lambda i: choose(f"w{i}", words)
@@ -129,12 +135,18 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED, seed: str = "train"
         F.concat(choose("dt", ["on ", "at ", "date=", ""]), F.lit("\0"), F.concat(F.lit("20"), digits(9, 30), F.lit("-0"), digits(10, 9), F.lit("-1"), digits(11, 9), F.lit("T1"), digits(12, 9), F.lit("-00-00Z"))),
         F.concat(name, F.lit(" = \""), F.lit("\0"), F.concat(choose("ph", ["your_", "example_", "my-", "xxxxx"]), part(9), F.lit("_"), part(10), F.lit("_here"), digits(13, 10))),
         F.concat(name, F.lit("="), F.lit("\0"), F.concat(F.repeat(choose("rep", ["0", "x", "1", "a", "A"]), 20), digits(14, 100), F.lit("a"))),
+        F.concat(name, F.array(*map(F.lit, opens))[k], F.lit("\0"), F.concat(part(11), choose("glue", ["", "_", "-", "."]), part(12), choose("glued", ["", "_value", "s", ".default"]))),
+        F.concat(name, choose("say", [": ", " = ", "=", ": '"]), F.lit("\0"), choose("pl", ["required", "disabled", "undefined", "changeme", "<password>", "********", "${SECRET}", "os.environ", "getpass()", "something", "redacted", "{{token}}", "string(255)", "optional", "incorrect"])),
         F.concat(choose("ord", ["order ", "invoice ", "ref ", "isbn ", "doi "]), F.lit("\0"), F.concat(F.upper(text("or", alnum[:52], 3)), F.lit("-"), text("on", "0123456789", 12))),
     )
-    pieces = F.split(F.get(others, number("other", 12)), "\0")
+    pieces = F.split(F.get(others, number("other", 14)), "\0")
     negative = F.struct(F.get(pieces, F.lit(0)).alias("before"), F.get(pieces, F.lit(1)).alias("value"), F.concat(F.when(F.get(pieces, F.lit(0)).endswith('"'), F.lit('"')).otherwise(F.lit("")), tail).alias("after"))
     label = (F.col("id") % 2).cast("double")
-    return spark.range(n).select(label.alias("label"), F.when(label == 1, positive).otherwise(negative).alias("r")).select("r.*", "label").where(F.length("value") >= SHORTEST)
+    rows = spark.range(n).select("id", label.alias("label"), F.when(label == 1, positive).otherwise(negative).alias("r"))
+    made = materialize(rows.select("id", "label", F.length("r.before").alias("at"), F.concat("r.before", "r.value", "r.after").alias("text")), "made")
+    # The rows are candidates as texts give them, those at the generated value.
+    found = candidates(made.select(F.col("id").alias("doc_id"), "text"))
+    return found.join(F.broadcast(made.select(F.col("id").alias("doc_id"), F.col("at").alias("start"), "label")), ["doc_id", "start"]).select("before", "value", "after", "label")
 
 
 _ASSEMBLER = {"inputCols": FEATURES, "outputCol": "features", "handleInvalid": "keep"}
@@ -158,9 +170,19 @@ def score(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, before, value, after for each candidate in docs(doc_id, text); trailing dots and dashes are not part of it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", "text", F.explode(_matches(F.col("text"), CANDIDATE)).alias("m"))
-    value = F.regexp_replace("m.value", "[.-]+$", "")
-    cut = found.select("doc_id", "text", F.col("m.start").alias("start"), value.alias("value")).where(F.length("value") >= SHORTEST)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    runs = F.when(F.col("text").rlike(CANDIDATE), _matches(F.col("text"), CANDIDATE)).otherwise(none)
+    runs = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["value"], "[.-]+$", "").alias("value")))
+    runs = F.filter(runs, lambda m: F.length(m["value"]) >= SHORTEST)
+
+    def named(m: Column) -> Column:
+        value = F.regexp_extract(m["value"], ASSIGNED, 1)
+        return F.struct((m["end"] - F.length(value)).alias("start"), F.regexp_replace(value, "[.,;)\\]]+$", "").alias("value"))
+
+    values = F.when(F.col("text").rlike(ASSIGNED), F.transform(_matches(F.col("text"), ASSIGNED), named)).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    apart = lambda v: ~F.exists("runs", lambda r: (r["start"] < v["start"] + F.length(v["value"])) & (v["start"] < r["start"] + F.length(r["value"])))
+    both = docs.select("doc_id", "text", runs.alias("runs"), F.filter(values, lambda v: F.length(v["value"]) >= SHORT).alias("values")).where("size(runs) > 0 or size(values) > 0")
+    cut = both.select("doc_id", "text", F.explode(F.concat("runs", F.filter("values", apart))).alias("m")).select("doc_id", "text", F.col("m.start").alias("start"), F.col("m.value").alias("value"))
     end = F.col("start") + F.length("value")
     before = F.substring("text", F.greatest(F.col("start") - 40, F.lit(0)) + 1, F.least(F.col("start"), F.lit(40)))
     return cut.select("doc_id", "start", end.alias("end"), before.alias("before"), "value", F.substring("text", end + 1, F.lit(16)).alias("after"))
