@@ -35,10 +35,15 @@ _SYMBOL[list(SYMBOLS)] = True
 _END = re.compile("[.!?…。！？:;,\"'”’»)\\]]\\s*$")
 #: Separators of menus, breadcrumbs and table rows.
 _SEPARATOR = re.compile(r"\s(?:\||»|›|·|•|>|::)\s")
+#: Stock phrases in English, German, French, Spanish and Dutch.
 _BOILERPLATE = re.compile(
     r"(?i)\b(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|notice)|accept (?:all )?cookies|"
     r"enable javascript|click here|sign up for our newsletter|subscribe to our|log ?in to|follow us on|share (?:this|on)|back to top|"
-    r"skip to (?:main )?content|read more|lorem ipsum|powered by)\b"
+    r"skip to (?:main )?content|read more|lorem ipsum|powered by|"
+    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|jetzt anmelden|weiterlesen|mehr lesen|zum inhalt springen|"
+    r"tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|accepter (?:tous )?les cookies|lire la suite|abonnez-vous|"
+    r"todos los derechos reservados|política de privacidad|aviso legal|términos de uso|aceptar (?:todas )?las cookies|leer más|suscríbete|"
+    r"alle rechten voorbehouden|privacybeleid|gebruiksvoorwaarden|cookies accepteren|lees meer)\b"
 )
 
 

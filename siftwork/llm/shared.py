@@ -7,7 +7,6 @@ the same power and mixed, so any substring costs O(1) after one pass.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import stored as materialize  # noqa: F401
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -107,12 +108,6 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield data[at[i] : at[i + 1]] if valid[i] else data[:0]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or "/tmp/checkpoints").rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH_ROWS rows, so a task's memory does not hold thousands of texts at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -120,14 +115,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: a lineage cut that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siftwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized_broadcast(side: DataFrame, row_bytes: int | Column, most: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if side, counted now, stays within ``most`` bytes; else the side as it is (a shuffled join).
 

@@ -1,4 +1,9 @@
 import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
 
 import corpus_pipeline
 from siftwork.llm import queries, quality
@@ -47,3 +52,45 @@ def test_failing_lines_leave(spark, tmp_path):
     shown = {r.doc_id: r for r in queries.op2_quality_rules(spark, str(tmp_path)).collect()}
     assert shown[1].clean_sha256 == shown[2].clean_sha256 == hashlib.sha256(left.encode()).hexdigest()
     assert (shown[1].lost_lines, shown[1].clean_words, shown[2].lost_lines) == (2, len(left.split()), 0)
+
+
+def brute(text):
+    """The base counts and the verdict word by word, with regular expressions instead of arrays."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    runs = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {j for i in range(len(words) - 7) if runs[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, dup, lost = set(), 0, 0
+    for line in (text or "").split("\n"):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        if n:
+            dup += line in seen
+            seen.add(line)
+            lost += n if quality.line_fails(line) else 0
+    failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(repeated), failed, not failed and lost <= 0.3 * len(words)
+
+
+def test_against_brute_force(spark, odd_rows):
+    rng = random.Random(17)
+    pieces = ["word", "a", "é漢", "x#y", "***", "|", "\u00a0", "\u2003", "\x0b", "\x0c", "\x1c", "\r", "Click here", "A. B. C."]
+    texts = ["".join(rng.choice(pieces) + rng.choice((" ", " ", "\n", "\t", "  ")) for _ in range(rng.randint(0, 90))) for _ in range(200)]
+    texts += ["one two three four five six seven eight nine. " * k for k in (1, 2, 3, 200)] + ["line of words\n" * 50, "x " * 300_000, " ".join(f"w{i % 7919}" for i in range(200_000))]
+    texts += [t for _, t in odd_rows]
+    rows = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute(texts[r.doc_id]), texts[r.doc_id][:200]
+
+
+@pytest.mark.parametrize(("lost", "kept"), [(12, True), (13, False)])
+def test_loss_at_the_limit(spark, lost, kept):
+    """Losing just the allowed share of words keeps a text: 12 of 40, at most 30 percent."""
+    text = " ".join(f"good{i}" for i in range(40 - lost)) + ".\n" + " ".join(f"Click here {i}" for i in range(4))[: 10**6]
+    extra = lost - len(text.split("\n")[1].split())
+    text += " more" * extra if extra >= 0 else ""
+    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.lost_words, row.kept) == (40, lost, kept)
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten", "Politique de confidentialité", "Aceptar las cookies", "Lees meer"])
+def test_stock_phrases_in_other_languages(line):
+    assert quality.line_fails(line) == "boilerplate"
