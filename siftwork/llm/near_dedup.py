@@ -191,7 +191,8 @@ def _confirmed(docs: DataFrame, groups: DataFrame, clusters: DataFrame, shingle:
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: doc_id, cluster, block, chunk, centre; the texts travel once a row."""
-        texts = docs.join(sized_broadcast(rows.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "block", "chunk", "centre")).alias("places")), 40), "doc_id")
+        places = materialize(rows.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "block", "chunk", "centre")).alias("places")), "places")
+        texts = docs.join(sized_broadcast(places, 40 + 32 * F.size("places")), "doc_id")
         return texts.select("doc_id", "text", F.explode("places").alias("p")).select("doc_id", "text", "p.*").groupBy("cluster", "block", "chunk").applyInPandas(compare, "a long, b long")
 
     small = members.where("chunks = 1").select("doc_id", "cluster", F.lit(0).alias("block"), F.lit(0).alias("chunk"), F.lit(True).alias("centre"))

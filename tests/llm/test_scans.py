@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm import licenses, queries, secret_scan, url_filter
+from siftwork.llm import licenses, pii, queries, secret_scan, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_candidates(spark):
 
 
 def test_no_python_on_the_native_paths(spark, model, odd_docs):
-    frames = [secret_scan.find_secrets(odd_docs, model), licenses.find_licenses(odd_docs, licenses.known_texts(spark))]
+    frames = [secret_scan.find_secrets(odd_docs, model), licenses.find_licenses(odd_docs, licenses.known_texts(spark)), pii.find_private(odd_docs), pii.sanitise(odd_docs)]
     for df in frames:
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
