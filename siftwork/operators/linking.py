@@ -101,14 +101,26 @@ def copies_of(docs: DataFrame, text: str = "text", size: int = 4, stopwords: lis
 
 
 def letter_reuse(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, same_letter_targets, similar_letters from near pairs (a, b) and docs(id, holder, tag, hash)."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    own = docs.select("id", "holder", "tag", "hash")
-    others = docs.select(F.col("id").alias("other"), F.col("holder").alias("o_holder"), F.col("tag").alias("o_tag"), F.col("hash").alias("o_hash"))
-    rows = both.join(own, "id").join(others, "other")
-    same = (F.col("holder") == F.col("o_holder")) & (F.col("holder") != "")
-    again = F.coalesce(same, F.lit(False)) & (F.col("tag") != F.col("o_tag")) & (F.col("hash") != F.col("o_hash"))
-    return rows.groupBy("id").agg(F.count_distinct(F.when(again, F.col("o_tag"))).alias("same_letter_targets"), F.count_distinct(F.when(~F.coalesce(same, F.lit(False)), F.col("other"))).alias("similar_letters"))
+    """id, same_letter_targets, similar_letters from the rows of ``near_copies`` and docs(id, holder, tag, hash).
+
+    A document is like all members of its own class of copies and of the classes near it.  Others are counted by class and
+    holder, so copies are not paired with each other.
+    """
+    near, copies = pairs.where("how = 'near'"), pairs.where("how = 'copy'")
+    reps = near.select(F.col("a").alias("id")).union(near.select("b")).union(copies.select("a")).distinct()
+    members = reps.select("id", F.col("id").alias("rep")).union(copies.select(F.col("b").alias("id"), F.col("a").alias("rep")))
+    rows = docs.select("id", F.coalesce("holder", F.lit("")).alias("holder"), "tag", "hash").join(members, "id")
+    links = near.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(near.select("b", "a")).union(reps.select("id", F.col("id").alias("other")))
+    every = rows.groupBy(F.col("rep").alias("other")).agg(F.count("*").alias("n"))
+    own = rows.where("holder <> ''").groupBy(F.col("rep").alias("other"), "holder").agg(F.count("*").alias("n_own"))
+    holders_ = rows.select("rep", "holder").distinct().join(links, "rep").join(every, "other").join(own, ["other", "holder"], "left")
+    # Without a holder all others are somebody else's, but for the row itself.
+    others = holders_.groupBy("rep", "holder").agg((F.sum(F.col("n") - F.coalesce("n_own", F.lit(0))) - F.when(F.col("holder") == "", 1).otherwise(0)).alias("similar_letters"))
+    forms = rows.where("holder <> ''").select(F.col("rep").alias("other"), "holder", F.col("tag").alias("o_tag"), F.col("hash").alias("o_hash")).distinct()
+    again = rows.where("holder <> ''").join(links, "rep").join(forms, ["other", "holder"]).where("tag <> o_tag and hash <> o_hash")
+    again = again.groupBy("id").agg(F.count_distinct("o_tag").alias("same_letter_targets"))
+    counted = rows.join(others, ["rep", "holder"]).join(again, "id", "left")
+    return counted.select("id", F.coalesce("same_letter_targets", F.lit(0)).alias("same_letter_targets"), "similar_letters")
 
 
 # How people say what they apply for; a claim ends before these words.

@@ -52,12 +52,32 @@ def test_copies(spark):
     rows = [("a", text, "p", "T1", "h1"), ("b", text + " more words here", "p", "T2", "h2"), ("c", text, "q", "T1", "h1"), ("d", "other words entirely stand here now", "q", "T3", "h4")]
     docs = spark.createDataFrame(rows, "id string, text string, holder string, tag string, hash string")
     pairs = linking.near_copies(docs)
-    assert [(r.a, r.b) for r in pairs.collect()] == [("a", "b")]
+    assert sorted((r.a, r.b, r.how) for r in pairs.collect()) == [("a", "b", "near"), ("a", "c", "copy")]
     assert {r.id: r.representative for r in linking.copies_of(docs).collect()}["c"] == "a"
     assert {r.id: r.duplicates for r in linking.exact_copies(docs).collect()} == {"a": 1, "b": 0, "c": 1, "d": 0}
     assert {r.id: r.same_holder for r in linking.same_holder(docs).collect()} == {"a": 1, "b": 1, "c": 1, "d": 1}
     reuse = {r.id: (r.same_letter_targets, r.similar_letters) for r in linking.letter_reuse(pairs, docs).collect()}
-    assert reuse == {"a": (1, 0), "b": (1, 0)}
+    assert reuse == {"a": (1, 1), "b": (1, 1), "c": (0, 2)}
+
+
+def test_letter_reuse_against_all_pairs(spark):
+    """Classes of copies, blank holders and equal hashes, against comparing every pair."""
+    import random
+
+    rng = random.Random(4)
+    text = [f"w{i}" for i in range(60)]
+    forms = [" ".join(text), " ".join(text[:50]), " ".join(text[5:] + ["tail"] * 4), " ".join(f"z{i}" for i in range(40))]
+    rows = [(i, forms[rng.randrange(4)], rng.choice(["p", "q", "", None]), f"T{rng.randrange(3)}", f"h{rng.randrange(3)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string, holder string, tag string, hash string")
+    pairs = linking.near_copies(docs)
+    linked = {(r.a, r.b) for r in pairs.where("how = 'near'").collect()}
+    rep = {i: min(j for j, *r in rows if r[0] == t) for i, t, *_ in rows}
+    wanted = {}
+    for i, _, holder, tag, hash_ in rows:
+        like = [r for r in rows if r[0] != i and (rep[r[0]] == rep[i] or (rep[i], rep[r[0]]) in linked or (rep[r[0]], rep[i]) in linked)]
+        same = lambda r: bool(holder) and r[2] == holder  # noqa: B023, E731
+        wanted[i] = (len({r[3] for r in like if same(r) and r[3] != tag and r[4] != hash_}), sum(not same(r) for r in like))
+    assert linked and {r.id: (r.same_letter_targets, r.similar_letters) for r in linking.letter_reuse(pairs, docs).collect()} == wanted
 
 
 def test_tables_and_facets(spark):
