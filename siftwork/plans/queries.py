@@ -84,7 +84,7 @@ _STEM = "case " + " ".join(f"when ends_with({{0}}, '{e}') and length({{0}}) >= {
   or len(list_filter(list_distinct(regexp_extract_all(lower({_ALL}), '[\p{{L}}\p{{N}}]+')), lambda w: ({_STEM.format("w")}) = 'thound'
     or (w[1] = 't' and length(w) >= 4 and damerau_levenshtein(w, 'thound') <= 1))) > 0""")
 def search_similar(spark, sf_dir):
-    return s.search(_docs(spark, sf_dir), s.similar("thound")).select("id")
+    return s.search(_spread(_docs(spark, sf_dir)), s.similar("thound")).select("id")
 
 
 @_query("select doc_id as id, n_chars::double as years from documents where n_chars >= 5000 and not n_chars > 20000")
@@ -181,7 +181,7 @@ def near_copies(spark, sf_dir):
 @_query(f"""with d as (select id, unnest(grams) as g from {_shingles("documents", "doc_id")}), b as (select id as tag, unnest(grams) as g from {_shingles("benchmark", "item_id")})
 select d.id, b.tag, count(*) as count from d join b using (g) group by all having count(*) >= 4""")
 def copied_phrases(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").transform(_spread)
     return linking.copied_phrases(docs, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("tag"), "text"))
 
 
@@ -505,7 +505,7 @@ def deduplicated_postings(spark, sf_dir):
 
 @_query()
 def matched_targets(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").transform(_spread)
     words = parse.skills(F.col("text"), known=SKILLS)
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.lit("").alias("letter_text"), words.alias("skills"))
     items = _table(spark, sf_dir, "benchmark")
