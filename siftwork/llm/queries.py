@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import find_private
 from .quality import judge
 from .suffix_dedup import remove_repeats
+from .whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +66,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup,)
+    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup, op11_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
