@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import html_extract, licenses, secret_scan, url_filter
 from .decontaminate import with_leaks
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_private
@@ -70,8 +71,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup, op11_embedding_whitening)
+    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup, op11_embedding_whitening, op12_mixing_to_target_weights)
     return {f.__name__: f for f in found}
 
 
