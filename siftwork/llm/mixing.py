@@ -15,7 +15,7 @@
    each; these meet in chunks again, a tree of logarithmic height.  The last
    one of a source is rounded to the nearer side, so a source's taken words
    differ from its target by half of one document at most (and by the rounding
-   to units).
+   to units); that one document is the only one whose odds the rounding bends.
 
 Chunks and odds come from hashes of the rows, so reruns agree on any cluster.
 Equal rows are one item with a count: a row that is repeated a million times is
@@ -122,8 +122,9 @@ def _rounded(items: DataFrame, seed: int) -> DataFrame:
         chunks = F.ceil(F.col("count") / FAN).cast("long")
         level += 1
         mark = lambda salt: F.xxhash64("doc_id", "size", "text_key", F.lit(level), F.lit(seed), F.lit(salt))  # noqa: B023,E731
+        # Documents of one size meet in an order of its own; sorted by their odds they would not meet by chance.
         odds = F.shiftrightunsigned(mark(1), 11).cast("double") * F.lit(2.0**-53)
-        chunked = left.join(sized_broadcast(counts, 16), "rank").select("rank", F.pmod(mark(0), chunks).alias("chunk"), F.struct((-F.col("size")).alias("order"), odds.alias("odds"), *fields).alias("item"))
+        chunked = left.join(sized_broadcast(counts, 16), "rank").select("rank", F.pmod(mark(0), chunks).alias("chunk"), F.struct((-F.col("size")).alias("order"), mark(2).alias("turn"), odds.alias("odds"), *fields).alias("item"))
         met = chunked.groupBy("rank", "chunk").agg(_chunk_result(F.array_sort(F.collect_list("item"))).alias("items"))
         met = materialize(met.select("rank", F.explode("items").alias("item")).select("rank", *[f"item.{c}" for c in fields]), "rounded")
         settled.append(met.where(~fractional))
