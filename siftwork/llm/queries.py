@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, licenses, secret_scan, url_filter
+from . import html_extract, licenses, secret_scan, spelling, url_filter
 from .decontaminate import with_leaks
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_private
 from .quality import judge
+from .spelling import variants
 from .suffix_dedup import remove_repeats
 from .whitening import whitened
 
@@ -75,10 +76,14 @@ def op12_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame
     return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"), least=6, times=5, factor=5, spoil=199)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup, op11_embedding_whitening, op12_mixing_to_target_weights)
+    found = (op1_html_extraction, op2_quality_rules, op3_best_fit_packing, op4_benchmark_decontamination, op5_secret_scans, op6_suffix_array_dedup, op7_pii_sanitisation, op8_url_filters, op9_license_scans, op10_minhash_near_dedup, op11_embedding_whitening, op12_mixing_to_target_weights, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filter.ORACLE, "op9_license_scans": licenses.oracle()}
+    return {"op8_url_filters": url_filter.ORACLE, "op9_license_scans": licenses.oracle(), "op13_spelling_variants": spelling.ORACLE}
