@@ -13,15 +13,18 @@
    between components is missed, while only spanning links leave a block.
 5. Components of the confirmed links give the result.
 
+The nodes of all this are sets, not ids: rows of one id with different texts
+are compared like any others.
+
 Defined cases: null or empty texts have an empty set, link with nothing and are
 kept; equal sets link; a null doc_id gets a null component and is not kept;
-repeated rows keep their rows and share a component; rows of one doc_id with
-different texts are one node, whose texts are all compared and all stay or go;
-extra columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
+repeated rows keep their rows and share a component; rows of one doc_id are one
+document, so ``near_duplicates`` links all that their texts link with, an empty
+text beside another one included; ``one_of_each`` goes by texts, and keeps each
+text that is no near copy of a kept one, whatever ids it shares; extra columns
+are ignored by ``near_duplicates`` and kept by ``one_of_each``.
 
-What may be missed: a pair at the threshold shares no bucket with chance MISS,
-and inside a block pairs whose signatures agree in 0.3 less than the threshold
-are not compared, which is 11 standard deviations of 256 bins and more.
+What may be missed: a pair at the threshold shares no bucket with chance MISS.
 """
 
 from __future__ import annotations
@@ -85,17 +88,6 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |a & b| >= percent * |a | b| for sorted distinct arrays."""
-    n, m = len(a), len(b)
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (n + m - shared)
-
-
 def _sketch(size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +99,8 @@ def _sketch(size: int, rows: int):
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 found.append(signed(bands(signature(shingles), rows)) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "n_bytes", "set_key", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n_shingles, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "n_bytes", "set_key", "bands"],
             )
 
     return run
@@ -131,94 +123,118 @@ class _Forest(dict):
 
 def _compare(size: int, percent: int):
     """A block: rows that are centres are compared with all rows after them and all others; spanning links come out."""
-    estimate = percent / 100 - 0.3
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["centre", "doc_id"], ascending=[False, True]).drop_duplicates(["doc_id", "text"])
-        ids, centres = block["doc_id"].to_numpy(), int(block["centre"].sum())
-        sets = [shingle_set(np.frombuffer((t or "").encode(), np.uint8), size) for t in block["text"]]
-        sigs = np.array([signature(s) for s in sets])
+        block = block.sort_values(["centre", "node"], ascending=[False, True]).drop_duplicates("node")
+        nodes, centres = block["node"].tolist(), int(block["centre"].sum())
+        sets = [shingle_set(np.frombuffer(t.encode(), np.uint8), size) for t in block["text"]]
         lengths = np.array([len(s) for s in sets])
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        names, places = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(len(names), bool)
         forest, links = _Forest(), []
-        for i in range(centres):
-            near = np.flatnonzero((sigs[i + 1 :] == sigs[i]).mean(axis=1) >= estimate) + i + 1
-            near = near[100 * np.minimum(lengths[near], lengths[i]) >= percent * np.maximum(lengths[near], lengths[i])]
-            for j in near:
-                a, b = int(ids[i]), int(ids[j])
-                if forest.find(a) != forest.find(b) and similar(sets[i], sets[j], percent):
-                    forest.join(a, b)
-                    links.append((a, b))
+        for i in range(min(centres, len(nodes) - 1)):
+            if len(links) == len(nodes) - 1:
+                break
+            own, rest = places[ends[i] : ends[i + 1]], places[ends[i + 1] :]
+            held[own] = True
+            shared = np.add.reduceat(held[rest], ends[i + 1 : -1] - ends[i + 1], dtype=np.int64)
+            held[own] = False
+            near = np.flatnonzero(100 * shared >= percent * (lengths[i] + lengths[i + 1 :] - shared)) + i + 1
+            links += [(nodes[i], nodes[j]) for j in near.tolist() if forest.join(nodes[i], nodes[j])]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def _sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs(doc_id, text): the rows with their sets, the sets with an id, and node, joined for nodes that link by their texts."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = docs.mapInArrow(_sketch(shingle, band_rows(percent / 100)), "doc_id long, n_shingles long, n_bytes long, set_key binary, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    sketched = docs.mapInArrow(_sketch(shingle, band_rows(percent / 100)), "doc_id long, text_key long, n_shingles long, n_bytes long, set_key binary, bands array<long>")
     sketched = materialize(sketched, "sketches")
-    groups = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
-    groups = materialize(groups.where("rep is not null"), "sets")
+    groups = sketched.where("set_key is not null and doc_id is not null").groupBy("set_key")
+    groups = groups.agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
+    groups = materialize(groups.select("set_key", F.xxhash64("set_key").alias("node"), "rep", "bands", "n_bytes"), "sets")
 
-    keyed = groups.select(F.explode("bands").alias("band"), "rep")
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre")
-    stars = keyed.join(shared, "band").where("rep > centre").select("centre", "rep").distinct()
-    clusters = materialize(connected_components(materialize(stars, "stars"), "centre", "rep"), "clusters")
+    keyed = groups.select(F.explode("bands").alias("band"), "node")
+    shared = keyed.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("band", "centre")
+    stars = keyed.join(shared, "band").where("node > centre").select("centre", "node").distinct()
+    clusters = materialize(connected_components(materialize(stars, "stars"), "centre", "node"), "clusters")
+    return sketched, groups, _confirmed(docs, sketched, groups, clusters, shingle, percent)
 
-    links = _confirmed(docs, groups, clusters, shingle, percent)
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("joined"))
-    reps = groups.select("set_key", "rep").join(sized_broadcast(found, 16), "rep", "left").select("set_key", F.coalesce("joined", "rep").alias("set_component"))
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    sketched, groups, links = _sets(docs, shingle, percent)
+    several = F.min("set_key") < F.max("set_key")
+    beside = (F.count("set_key") > 0) & (F.count("set_key") < F.count("*"))
+    ids = sketched.where("doc_id is not null").groupBy("doc_id").agg(several.alias("several"), beside.alias("beside"))
+    ids = materialize(ids.where("several or beside"), "ids")
+    named = groups.select("set_key", "node", F.col("rep.doc_id").alias("rep"))
+    if ids.where("several").limit(1).count():
+        held = sketched.join(sized_broadcast(ids.where("several").select("doc_id"), 16), "doc_id").select("doc_id", "set_key").distinct()
+        held = materialize(held.join(named, "set_key").select("doc_id", "node"), "held")
+        least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.union(held.join(least, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct())
+    found = materialize(connected_components(links, "a", "b"), "found")
+    lowest = found.join(named, "node").groupBy("component").agg(F.min("rep").alias("joined"))
+    found = found.join(lowest, "component").select("node", "joined")
+    reps = named.join(sized_broadcast(found, 16), "node", "left").select("set_key", F.coalesce("joined", "rep").alias("set_component"))
+    rows = sketched.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
+    if ids.where("beside").limit(1).count():
+        other = rows.where("set_key is not null").join(sized_broadcast(ids.where("beside").select("doc_id"), 16), "doc_id").groupBy("doc_id").agg(F.min("set_component").alias("other"))
+        rows = rows.join(sized_broadcast(other, 16), "doc_id", "left").withColumn("set_component", F.coalesce("set_component", "other"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("set_component", "doc_id"))
-    return (
-        sketched.select("doc_id", "n_shingles", "set_key")
-        .join(reps, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-    )
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _confirmed(docs: DataFrame, groups: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components inside each cluster."""
-    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = members.join(groups.select(F.col("rep").alias("doc_id"), "n_bytes"), "doc_id")
+def _confirmed(docs: DataFrame, sketched: DataFrame, groups: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes that span the components inside each cluster."""
+    members = clusters.select("node", F.col("component").alias("cluster"))
+    members = members.join(groups.select("node", "rep", "n_bytes"), "node")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = members.select("doc_id", "cluster").join(sizes.select("cluster", "n", chunks.alias("chunks")), "cluster")
-    members = members.withColumn("turn", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    members = members.select("node", "rep", "cluster").join(sizes.select("cluster", "n", chunks.alias("chunks")), "cluster")
+    members = members.withColumn("turn", F.xxhash64(F.col("node"), F.lit(7)))
     members = materialize(members, "members")
     compare = _compare(shingle, percent)
 
     def compared(rows: DataFrame) -> DataFrame:
-        """rows: doc_id, cluster, block, chunk, centre; the texts travel once a row."""
-        places = materialize(rows.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "block", "chunk", "centre")).alias("places")), "places")
-        texts = docs.join(sized_broadcast(places, 40 + 32 * F.size("places")), "doc_id")
-        return texts.select("doc_id", "text", F.explode("places").alias("p")).select("doc_id", "text", "p.*").groupBy("cluster", "block", "chunk").applyInPandas(compare, "a long, b long")
-
-    small = members.where("chunks = 1").select("doc_id", "cluster", F.lit(0).alias("block"), F.lit(0).alias("chunk"), F.lit(True).alias("centre"))
+        """rows: node, rep, cluster, block, chunk, centre; one text a node travels, and once a row."""
+        places = rows.groupBy("rep").agg(F.first("node").alias("node"), F.collect_list(F.struct("cluster", "block", "chunk", "centre")).alias("places"))
+        places = materialize(places.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "node", "places"), "places")
+        texts = docs.join(sized_broadcast(places, 56 + 32 * F.size("places")), ["doc_id", "text_key"])
+        if repeated:
+            texts = texts.groupBy("doc_id", "text_key", "node").agg(F.first("text").alias("text"), F.first("places").alias("places"))
+        return texts.select("node", "text", F.explode("places").alias("p")).select("node", "text", "p.*").groupBy("cluster", "block", "chunk").applyInPandas(compare, "a long, b long")
+
+    copies = sketched.select("doc_id", "text_key").join(sized_broadcast(members.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")), 24), ["doc_id", "text_key"])
+    repeated = copies.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    small = members.where("chunks = 1").select("node", "rep", "cluster", F.lit(0).alias("block"), F.lit(0).alias("chunk"), F.lit(True).alias("centre"))
     links = compared(small)
     large = members.where("chunks > 1")
     if large.limit(1).count() == 0:
         return materialize(links, "links")
-    place = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    place = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
 
     def against_all(centres: DataFrame) -> DataFrame:
-        """centres: doc_id, cluster, block, chunks."""
+        """centres: node, rep, cluster, block, chunks."""
         blocks = centres.select("cluster", "block").distinct()
-        rest = large.join(blocks, "cluster").select("doc_id", "cluster", "block", place.alias("chunk"), F.lit(False).alias("centre"))
-        spread = centres.select("doc_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("centre"))
+        rest = large.join(blocks, "cluster").select("node", "rep", "cluster", "block", place.alias("chunk"), F.lit(False).alias("centre"))
+        spread = centres.select("node", "rep", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("centre"))
         return compared(rest.unionByName(spread))
 
     # A member is a pivot with a chance that makes PIVOTS of them on average.
     chance = F.pmod("turn", F.lit(1 << 20)) * F.col("n") < PIVOTS * (1 << 20)
-    first = materialize(links.unionByName(against_all(large.where(chance).select("doc_id", "cluster", F.lit(0).alias("block"), "chunks"))), "links")
-    parts = connected_components(first, "a", "b").select(F.col("node").alias("doc_id"), "component")
-    known = materialize(large.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "known")
+    first = materialize(links.unionByName(against_all(large.where(chance).select("node", "rep", "cluster", F.lit(0).alias("block"), "chunks"))), "links")
+    parts = connected_components(first, "a", "b").select("node", "component")
+    known = materialize(large.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
     counts = known.groupBy("cluster", "component").count()
     largest = counts.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("component"))
     rest = known.join(largest, ["cluster", "component"], "left_anti").where(~chance)
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.ceil(F.col("size") / CENTRES), F.lit(1))).cast("int") + 1
-    rest = rest.join(rest.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("doc_id", "cluster", block.alias("block"), "chunks")
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.ceil(F.col("size") / CENTRES), F.lit(1))).cast("int") + 1
+    rest = rest.join(rest.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("node", "rep", "cluster", block.alias("block"), "chunks")
     rest = materialize(rest, "rest")
     if rest.limit(1).count() == 0:
         return first
@@ -226,11 +242,22 @@ def _confirmed(docs: DataFrame, groups: DataFrame, clusters: DataFrame, shingle:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one for each component, and those without an id; columns as they are."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, percent)
-    gone = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti")
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
-    return left.select(*docs.columns)
+    """The rows of docs that stay: one for each component of texts, and those without an id; columns as they are."""
+    sketched, groups, links = _sets(docs.select("doc_id", "text"), shingle, percent)
+    found = materialize(connected_components(links, "a", "b"), "found")
+    named = groups.select("set_key", "node", "rep").join(sized_broadcast(found, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min("rep").alias("stays"))
+    named = materialize(named.join(first, "component").select("set_key", "stays"), "named")
+    rows = sketched.where("doc_id is not null").select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
+    stays = F.coalesce(F.col("stays") == F.struct("doc_id", "text_key"), F.lit(True))
+    verdicts = materialize(rows.groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count("*").alias("copies")), "verdicts")
+    gone = verdicts.where("not stays").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    place = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text")}
+    key = (place["doc_id"].cast("long"), F.xxhash64(place["text"].cast("string")))
+    left = docs.toDF(*names)
+    left = left.join(sized_broadcast(gone, 24), (key[0] == F.col("_gone_id")) & (key[1] == F.col("_gone_key")), "left_anti")
+    if verdicts.where("stays and copies > 1").limit(1).count():
+        known = place["doc_id"].isNotNull()
+        left = left.where(known).dropDuplicates([names[docs.columns.index(c)] for c in ("doc_id", "text")]).unionByName(left.where(~known))
+    return left.toDF(*docs.columns)
