@@ -2,8 +2,9 @@
 
 Every line is judged by itself: it fails if it has no sentence end and is no
 list of words long enough to be prose (punctuation), looks like a menu or a
-table row (navigation), repeats a stock phrase (boilerplate), or is mostly
-symbols, shouting or stuttered words (noise).  Failing lines go; a text that loses more than
+table row (navigation), holds a stock phrase for every WORDS_A_PHRASE of its
+words (boilerplate), or is mostly symbols, shouting or stuttered words (noise).
+A line of any length is judged whole.  Failing lines go; a text that loses more than
 ``max_loss`` of its words is rejected.  Before that stand the base rules: fewer
 than ``min_words`` words, or over ``max_repeat`` percent of the words in 8-word
 windows that occur twice in the text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +37,33 @@ _SYMBOL[list(SYMBOLS)] = True
 _END = re.compile("[.!?…。！？:;,\"'”’»)\\]]\\s*$")
 #: Separators of menus, breadcrumbs and table rows.
 _SEPARATOR = re.compile(r"\s(?:\||»|›|·|•|>|::)\s")
-#: Stock phrases in English, German, French, Spanish and Dutch.
-_BOILERPLATE = re.compile(
-    r"(?i)\b(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|notice)|accept (?:all )?cookies|"
-    r"enable javascript|click here|sign up for our newsletter|subscribe to our|log ?in to|follow us on|share (?:this|on)|back to top|"
-    r"skip to (?:main )?content|read more|lorem ipsum|powered by|"
-    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|jetzt anmelden|weiterlesen|mehr lesen|zum inhalt springen|"
-    r"tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|accepter (?:tous )?les cookies|lire la suite|abonnez-vous|"
-    r"todos los derechos reservados|política de privacidad|aviso legal|términos de uso|aceptar (?:todas )?las cookies|leer más|suscríbete|"
-    r"alle rechten voorbehouden|privacybeleid|gebruiksvoorwaarden|cookies accepteren|lees meer)\b"
-)
-
-
-def line_fails(line: str, max_symbols: float = 0.1) -> str:
-    """The first rule that a line with words breaks, or an empty string."""
+#: Stock phrases in English, German, French, Spanish and Dutch (fixed values, lower case).
+PHRASES = (
+    "all rights reserved|privacy policy|terms of use|terms of service|cookie policy|cookie settings|cookie notice|accept cookies|accept all cookies|"
+    "enable javascript|click here|sign up for our newsletter|subscribe to our|login to|log in to|follow us on|share this|share on|back to top|"
+    "skip to content|skip to main content|read more|lorem ipsum|powered by|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|jetzt anmelden|weiterlesen|mehr lesen|zum inhalt springen|"
+    "tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|accepter les cookies|accepter tous les cookies|lire la suite|abonnez-vous|"
+    "todos los derechos reservados|política de privacidad|aviso legal|términos de uso|aceptar cookies|aceptar las cookies|aceptar todas las cookies|leer más|suscríbete|"
+    "alle rechten voorbehouden|privacybeleid|gebruiksvoorwaarden|cookies accepteren|lees meer"
+).split("|")
+#: A line with at least one stock phrase for so many of its words fails, however long it is.
+WORDS_A_PHRASE = 50
+
+
+@lru_cache(maxsize=1000)
+def _any_of(phrases: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"\b(?:{'|'.join(map(re.escape, phrases))})\b")
+
+
+def stock_phrases(text: str) -> tuple[str, ...]:
+    """The stock phrases that a text holds anywhere; most hold none, and their lines need no search."""
+    low = text.lower()
+    return tuple(p for p in PHRASES if p in low)
+
+
+def line_fails(line: str, max_symbols: float = 0.1, phrases: tuple[str, ...] = tuple(PHRASES)) -> str:
+    """The first rule that a line with words breaks, or an empty string; phrases: the stock phrases to look for."""
     words = line.split()
     n = len(words)
     marked = sum(any(c in "#*$%&|<>" for c in w) for w in words)
@@ -61,7 +76,7 @@ def line_fails(line: str, max_symbols: float = 0.1) -> str:
         return "noise"
     if len(_SEPARATOR.findall(line)) >= 3:
         return "navigation"
-    if len(line) < 300 and _BOILERPLATE.search(line):
+    if phrases and WORDS_A_PHRASE * len(_any_of(phrases).findall(line.lower())) >= n:
         return "boilerplate"
     if not letters or letters < 0.4 * sum(map(len, words)):
         return "noise"
@@ -89,7 +104,7 @@ def _judged(batches: Iterator[pa.RecordBatch], min_words: int, max_repeat: int,
             repeat = int((np.cumsum(covered)[:n] > 0).sum())
             text = data.tobytes().decode()
             lines = text.split("\n")
-            seen, dup, lost, lost_lines, kept_lines = set(), 0, 0, 0, []
+            seen, dup, lost, lost_lines, kept_lines, phrases = set(), 0, 0, 0, [], stock_phrases(text)
             for line in lines:
                 size = len(line.encode().split())
                 if not size:
@@ -98,7 +113,7 @@ def _judged(batches: Iterator[pa.RecordBatch], min_words: int, max_repeat: int,
                 if line in seen:
                     dup += 1
                 seen.add(line)
-                if line_fails(line):
+                if line_fails(line, phrases=phrases):
                     lost += size
                     lost_lines += 1
                 else:

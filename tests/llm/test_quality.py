@@ -94,3 +94,13 @@ def test_loss_at_the_limit(spark, lost, kept):
 @pytest.mark.parametrize("line", ["Alle Rechte vorbehalten", "Politique de confidentialité", "Aceptar las cookies", "Lees meer"])
 def test_stock_phrases_in_other_languages(line):
     assert quality.line_fails(line) == "boilerplate"
+
+
+def test_long_lines_are_judged_whole():
+    """A long menu or legal line fails; one phrase in a long line of prose does not make it boilerplate."""
+    menu = "Privacy policy and terms of use for all the pages that you may visit. " * 40
+    assert len(menu) > 2000 and quality.line_fails(menu) == "boilerplate"
+    assert quality.line_fails("Nothing else is in this long line of prose. " * 20 + "Read more about it in the annex.") == ""
+    assert quality.line_fails("Nothing else is in this line. " * 4 + "Read more about it.") == "boilerplate"
+    assert quality.line_fails("A bread moreover is not a stock phrase, nor is it one in a line of plain words.") == ""
+    assert quality.stock_phrases("x READ MORE y") == ("read more",)
