@@ -1,14 +1,21 @@
 """Personal data by fixed patterns, and terms that reveal it by corpus statistics.
 
 Base kinds are found by patterns and checks.  Then, for every protected entity
-(a found value), the terms near it are counted in distinct surroundings, and
-the texts that hold each such term, and those that hold it with the entity, are
-counted over the whole corpus.  A term t discloses an entity e if it stands near
-e in at least ``support`` different surroundings, both are in at least
-``support`` texts, P(e | t) is at least ``certainty``, and the pointwise
-information log2(P(e | t) / P(e)) is at least ``bits``.  Disclosing terms become
-spans of kind ``term`` wherever they occur; sanitising replaces every span by
-the name of its kind.
+(a found value) in at least ``support`` texts, the texts that hold it together
+with each term of theirs are counted, and the texts of the whole corpus that
+hold the term.  A text is the unit of all counts: a term may be of any length
+and stand anywhere in it.  A term t discloses an entity e if
+
+* at least ``support`` texts hold both,
+* P(e | t) is at least ``certainty``,
+* the pointwise information log2(P(e | t) / P(e)) is at least ``bits``, and
+* t stands in at least ``support`` different surroundings (the words next to
+  it) in these texts, by their effective number 1 / sum(share ** 2): copies and
+  near copies of one passage are about one surrounding, however many there are.
+
+``near`` narrows the candidates to terms within so many characters of an
+entity.  Disclosing terms become spans of kind ``term`` wherever they occur;
+sanitising replaces every span by the name of its kind.
 
 DataFrame functions only.  Counts are pre-aggregated; a term or entity in a
 third of all texts is one key of a partial aggregate.
@@ -37,8 +44,6 @@ KINDS = {
 }
 #: A text without this has no match; saves the costlier pattern.
 _GATES = {"email": "@", "phone": "+"}
-#: Characters of surroundings on either side of an entity in which terms count as near.
-NEAR = 80
 _TERM_SPLIT = r"[^\p{L}\p{N}_]+"
 _IN_TERM = r"[\p{L}\p{N}_]"
 
@@ -119,62 +124,70 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(text, _TERM_SPLIT), lambda w: (F.length(w) >= 3) & (F.length(w) <= 64))
+    return F.filter(F.split(text, _TERM_SPLIT), lambda w: w != "")
 
 
-def disclosing_terms(texts: DataFrame, private: DataFrame, support: int, certainty: float, bits: float) -> DataFrame:
+def _sides(text: Column, start: Column, end: Column, near: int) -> Column:
+    """The terms that begin and end within ``near`` characters of a span."""
+    before = F.substring(text, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near)))
+    before = F.when(F.substring(text, F.greatest(start - near, F.lit(1)), F.lit(1)).rlike(_IN_TERM) & (start > near), F.regexp_replace(before, f"^{_IN_TERM}+", "")).otherwise(before)
+    after = F.substring(text, end + 1, F.lit(near))
+    after = F.when(F.substring(text, end + near + 1, F.lit(1)).rlike(_IN_TERM), F.regexp_replace(after, f"(?<!{_IN_TERM}){_IN_TERM}+$", "")).otherwise(after)
+    return F.array_distinct(F.concat(_terms(before), _terms(after)))
+
+
+def disclosing_terms(texts: DataFrame, private: DataFrame, support: int, certainty: float, bits: float, near: int | None = None) -> DataFrame:
     """term: from texts(text) and private(text_key, text, spans) with the base spans of each distinct text."""
     spans = private.select("text_key", "text", F.explode("spans").alias("s"))
-    entity = F.concat_ws(":", F.col("s.kind"), F.lower("s.value"))
-    text, start, end = F.col("text"), F.col("s.start"), F.col("s.end")
-    # A term that the window cuts is left out; at the ends of a text nothing is cut.
-    before = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
-    before = F.when(F.substring(text, F.greatest(start - NEAR, F.lit(1)), F.lit(1)).rlike(_IN_TERM) & (start > NEAR), F.regexp_replace(before, f"^{_IN_TERM}+", "")).otherwise(before)
-    after = F.substring(text, end + 1, F.lit(NEAR))
-    after = F.when(F.substring(text, end + NEAR + 1, F.lit(1)).rlike(_IN_TERM), F.regexp_replace(after, f"(?<!{_IN_TERM}){_IN_TERM}+$", "")).otherwise(after)
-    sides = spans.select("text_key", entity.alias("entity"), F.concat(_terms(before), _terms(after)).alias("near"))
-    # Terms with the words next to them: copies of a passage give one surrounding.
-    around = F.transform("near", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("near", i - 1), F.get("near", i + 1)).alias("place")))
-    seen = materialize(sides.select("text_key", "entity", F.explode(around).alias("n")).select("text_key", "entity", "n.*"), "near")
-    joint = seen.select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
+    entity = F.xxhash64("s.kind", F.lower("s.value"))
     held = materialize(spans.select(entity.alias("entity"), "text_key").distinct(), "held")
-    n_held = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     n_texts = texts.select(F.xxhash64("text").alias("k")).agg(F.count_distinct("k").cast("double").alias("n_texts"))
-    # A term stands in at least as many texts as it stands near any entity in, and with an entity in at most the entity's texts;
-    # by these bounds common words drop out before the corpus is counted.
-    at_least = seen.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("at_least"))
-    joint = joint.join(n_held, "entity").join(at_least, "term").where(F.col("n_entity") >= certainty * F.col("at_least")).drop("at_least")
-    joint = materialize(joint.join(F.broadcast(n_texts)).where(F.log2(F.col("n_texts") / F.col("n_entity")) >= bits), "joint")
+    # An entity in few texts, or in so many that certainty itself gains too little, cannot be disclosed by any term.
+    able = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    able = able.join(F.broadcast(n_texts)).where(F.log2(F.col("n_texts") / F.col("n_entity")) >= bits)
+    held = materialize(held.join(sized_broadcast(able, 40), "entity"), "able")
+    holding = private.join(sized_broadcast(held.select("text_key").distinct(), 16), "text_key", "left_semi").select("text_key", "text")
+
+    words = materialize(holding.select("text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")), "words")
+    # As many texts hold the term as hold it with some entity, at least; and at most the entity's texts hold both.
+    at_least = words.groupBy("term").agg(F.count("*").alias("at_least")).where(F.col("at_least") >= support)
+    most = held.agg(F.max("n_entity").alias("most"))
+    at_least = at_least.join(F.broadcast(most)).where(F.col("at_least") * certainty <= F.col("most")).drop("most")
+    pairs = words.join(at_least, "term").join(held, "text_key").where(F.col("at_least") * certainty <= F.col("n_entity"))
+    if near is not None:
+        beside = spans.select(entity.alias("entity"), "text_key", F.explode(_sides(F.col("text"), F.col("s.start"), F.col("s.end"), near)).alias("term"))
+        pairs = pairs.join(beside.select("entity", "term").distinct(), ["entity", "term"])
+    joint = pairs.groupBy("entity", "term", "n_entity", "n_texts", "at_least").agg(F.count("*").alias("together"))
+    joint = materialize(joint.where((F.col("together") >= support) & (F.col("together") >= certainty * F.col("at_least"))).drop("at_least"), "joint")
 
-    wanted = joint.select("term").distinct()
     # One row for each distinct text, so copies count once.
-    words = texts.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    counted = words.join(sized_broadcast(wanted, 80), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    able = F.least(F.col("n_entity") / F.col("n_term"), F.lit(1.0))
-    joint = joint.join(counted, "term").where((able >= certainty) & (F.log2(able * F.col("n_texts") / F.col("n_entity")) >= bits))
-    joint = materialize(joint, "scored")
-    # Texts that hold both, wherever they stand: the same unit as n_term.
-    private_words = private.select("text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    private_words = private_words.join(sized_broadcast(joint.select("term").distinct(), 80), "term")
-    both = private_words.join(joint.select("entity", "term"), "term").join(held, ["entity", "text_key"])
-    together = both.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    scored = joint.join(together, ["entity", "term"])
+    wanted = sized_broadcast(joint.select("term").distinct(), 24 + F.octet_length("term"))
+    everywhere = texts.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    counted = everywhere.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     known = F.col("together") / F.col("n_term")
     gained = F.log2(known * F.col("n_texts") / F.col("n_entity"))
-    return scored.where((known >= certainty) & (gained >= bits)).select("term").distinct()
+    scored = materialize(joint.join(counted, "term").where((known >= certainty) & (gained >= bits)).select("entity", "term"), "scored")
+
+    around = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(F.get("t", i).alias("term"), F.xxhash64(F.get("t", i - 1), F.get("t", i + 1)).alias("place")))
+    places = holding.select("text_key", _terms(F.col("text")).alias("t")).where("size(t) > 0").select("text_key", F.explode(around).alias("p")).select("text_key", "p.*")
+    places = places.join(sized_broadcast(scored.select("term").distinct(), 24 + F.octet_length("term")), "term").distinct()
+    # Each occurrence meets the entities of its text for which the term scored.
+    met = places.join(held.select("entity", "text_key"), "text_key").join(scored, ["entity", "term"]).groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
+    effective = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
+    return met.groupBy("entity", "term").agg(effective.alias("surroundings")).where(F.col("surroundings") >= support - 1e-9).select("term").distinct()
 
 
-def _spans(docs: DataFrame, support: int, certainty: float, bits: float) -> DataFrame:
+def _spans(docs: DataFrame, support: int, certainty: float, bits: float, near: int | None) -> DataFrame:
     """row_key, spans (start, kind, end) for each text with a span, base and disclosing terms."""
     texts = docs.select("row_key", "text").where(F.col("text") != "")
     base = materialize(texts.select("row_key", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["row_key"]), "base")
-    private = texts.join(sized_broadcast(base, 40 + 100 * F.size("spans")), "row_key").select(F.xxhash64("text").alias("text_key"), "text", "spans").dropDuplicates(["text_key"])
-    terms = materialize(disclosing_terms(texts, private, support, certainty, bits), "terms")
+    private = texts.join(sized_broadcast(base, 40 + F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + 40 + F.octet_length(x["value"]))), "row_key").select(F.xxhash64("text").alias("text_key"), "text", "spans").dropDuplicates(["text_key"])
+    terms = materialize(disclosing_terms(texts, private, support, certainty, bits, near), "terms")
     plain = base.select("row_key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("spans"))
     if terms.limit(1).count() == 0:
         return plain
-    holds = texts.select("row_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(sized_broadcast(terms, 80), "term").distinct()
-    holds = texts.join(sized_broadcast(materialize(holds.groupBy("row_key").agg(F.collect_list("term").alias("terms")), "holds"), 40 + 40 * F.size("terms")), "row_key").dropDuplicates(["row_key"])
+    holds = texts.select("row_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(sized_broadcast(terms, 24 + F.octet_length("term")), "term").distinct()
+    holds = texts.join(sized_broadcast(materialize(holds.groupBy("row_key").agg(F.collect_list("term").alias("terms")), "holds"), 40 + F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + 24 + F.octet_length(t))), "row_key").dropDuplicates(["row_key"])
     term_spans = F.flatten(F.transform("terms", lambda t: _matches(F.col("text"), F.concat(F.lit(f"(?<!{_IN_TERM})"), t, F.lit(f"(?!{_IN_TERM})")))))
     term_spans = F.transform(term_spans, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end")))
     found = holds.select("row_key", term_spans.alias("term_spans"))
@@ -183,17 +196,17 @@ def _spans(docs: DataFrame, support: int, certainty: float, bits: float) -> Data
     return both.select("row_key", F.array_sort(F.concat("spans", F.coalesce(free, F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
 
 
-def _with_spans(docs: DataFrame, support: int, certainty: float, bits: float) -> DataFrame:
+def _with_spans(docs: DataFrame, support: int, certainty: float, bits: float, near: int | None) -> DataFrame:
     docs = _keyed(docs)
-    spans = materialize(_spans(docs.select("row_key", "text"), support, certainty, bits), "private")
+    spans = materialize(_spans(docs.select("row_key", "text"), support, certainty, bits, near), "private")
     joined = docs.join(sized_broadcast(spans, 40 + 24 * F.size("spans")), "row_key", "left").drop("row_key")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
 
 
-def find_private(docs: DataFrame, support: int = 3, certainty: float = 0.5, bits: float = 4.0) -> DataFrame:
+def find_private(docs: DataFrame, support: int = 3, certainty: float = 0.5, bits: float = 4.0, near: int | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _with_spans(docs, support, certainty, bits)
+    found = _with_spans(docs, support, certainty, bits, near)
     names = F.array(*map(F.lit, [*KINDS, "term"]))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -201,12 +214,12 @@ def find_private(docs: DataFrame, support: int = 3, certainty: float = 0.5, bits
     return found.select("doc_id", *counts, F.sha2(shown(F.filter("spans", lambda s: s["kind"] < len(KINDS))), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, support: int = 3, certainty: float = 0.5, bits: float = 4.0) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 3, certainty: float = 0.5, bits: float = 4.0, near: int | None = None) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; other columns as they are, n_chars counted anew."""
     columns = docs.columns
     # Reserved names keep clashing columns apart.
     plain = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"))
-    found = _with_spans(plain, support, certainty, bits)
+    found = _with_spans(plain, support, certainty, bits, near)
     # Of overlapping spans the first wins and reaches to the furthest end.
     merged = F.aggregate(
         "spans",

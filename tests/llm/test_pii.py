@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -90,16 +91,72 @@ def test_shared_passages_count_every_text(spark):
     assert not any("term" in found[i] for i in range(36, len(rows)))
 
 
-def test_only_cut_terms_are_left_out(spark):
-    """The last term of a text counts; half a word at the window's edge does not."""
+def test_terms_near_an_entity(spark):
+    """With a width, the last term of a text counts; half a word at the window's edge and words beyond do not."""
     rows = [f"mail{i} me{i} at big.boss@corp.example thing{i} Quuxly" for i in range(4)]
-    pad = " " * (pii.NEAR - 5)
+    pad = " " * 75
     rows += [f"one{i} two.boss@corp.example{pad}Frobnicate{i}" for i in range(4)] + ["Frobn here", "and here"]
+    rows += [f"x{i} y{i} z{i} three.boss@corp.example{pad * 2}w{i} Farword v{i}" for i in range(4)]
     rows += [f"other text number{i} of the many{i}" for i in range(900)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = {r.doc_id: r.spans for r in pii.find_private(docs).collect()}
+    found = {r.doc_id: r.spans for r in pii.find_private(docs, near=80).collect()}
     assert all(f"term:{rows[i].index('Quuxly')}:{len(rows[i])}" in found[i] for i in range(4))
     assert not any("term" in found[i] for i in range(4, len(rows)))
+    whole = {r.doc_id: r.spans for r in pii.find_private(docs).collect()}
+    assert all(f"term:{rows[i].index('Farword')}:{rows[i].index('Farword') + 7}" in whole[i] for i in range(10, 14))
+
+
+def brute_terms(rows, support=3, certainty=0.5, bits=4.0):
+    """The statistic by its definition: every entity with every term, each time over all distinct texts."""
+    texts = sorted({t for t in rows if t})
+    terms = [re.findall(r"\w+", t) for t in texts]
+    entities = [{(k, m.group().lower()) for k, (kind, p) in enumerate(PATTERNS) for m in re.finditer(p, t) if valid(kind, m.group())} for t in texts]
+    out = set()
+    for e in set().union(*entities):
+        own = {i for i, es in enumerate(entities) if e in es}
+        for term in set().union(*(terms[i] for i in own)):
+            holding = {i for i, ts in enumerate(terms) if term in ts}
+            both = own & holding
+            p = len(both) / len(holding)
+            if len(own) < support or len(both) < support or p < certainty or math.log2(p * len(texts) / len(own)) < bits:
+                continue
+            places = Counter()
+            for i in both:
+                ts = [None, *terms[i], None]
+                places.update({(ts[k - 1], ts[k + 1]) for k in range(1, len(ts) - 1) if ts[k] == term})
+            if sum(places.values()) ** 2 / sum(n * n for n in places.values()) >= support - 1e-9:
+                out.add(term)
+    return out
+
+
+def test_statistic_against_brute_force(spark):
+    """Random texts with planted names, copies, near copies, several entities a text, and terms of all lengths."""
+    rng = random.Random(31)
+    plain = [f"w{rng.randrange(150)}" for _ in range(300)] + ["é", "x" * 90]
+    rows = []
+    for k in range(14):
+        name, mail = ["A", "Zorro", "N" * 80][k % 3] + str(k), f"m{k}@corp.example"
+        for _ in range(rng.randrange(2, 8)):
+            words = rng.sample(plain, rng.randrange(3, 20)) + [name] * rng.randrange(0, 3) + [mail] * rng.randrange(0, 2) + rng.sample(["10.0.0.7", "m3@corp.example"], rng.randrange(0, 2))
+            rng.shuffle(words)
+            rows.append(" ".join(words))
+    passage = "only Copyname stands here with copy@corp.example and Sharedword beside it"
+    rows += [passage] * 5 + [passage + f" tail{i}" for i in range(30)] + [passage.replace("stands", f"edit{i}") for i in range(4)]
+    rows += [" ".join(rng.sample(plain, 9)) for _ in range(500)] + [None, ""]
+    rng.shuffle(rows)
+    expected = brute_terms(rows)
+    assert len(expected) > 3 and "Copyname" not in expected and "Sharedword" not in expected
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {rows[r.doc_id][int(a) : int(b)] for r in pii.find_private(docs).collect() for a, b in re.findall(r"term:(\d+):(\d+)", r.spans)}
+    # Terms that stand only inside addresses are covered by those already.
+    def outside(term):
+        for row in filter(None, rows):
+            taken = [m.span() for kind, p in PATTERNS for m in re.finditer(p, row) if valid(kind, m.group())]
+            if any(all(m.end() <= a or b <= m.start() for a, b in taken) for m in re.finditer(rf"(?<!\w){term}(?!\w)", row)):
+                return True
+        return False
+
+    assert found == {t for t in expected if outside(t)}
 
 
 def test_recall_and_precision_of_terms(spark):
