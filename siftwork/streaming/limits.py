@@ -9,17 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .stateful import CacheInOrder, CacheOnArrival, LimitInOrder, admits, run
+
 
 def admitted(times: list[float], limit: int, window: float, recent: list[float]) -> list[bool]:
     """Whether each call, in order, has fewer than ``limit`` admitted calls in the window before it; refused calls do not count."""
-    out = []
-    for t in times:
-        while recent and recent[0] <= t - window:
-            recent.pop(0)
-        out.append(len(recent) < limit)
-        if out[-1]:
-            recent.append(t)
-    return out
+    return [admits(t, limit, window, recent) for t in times]
 
 
 def rate_limited(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
@@ -44,8 +39,17 @@ def rate_limited(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
     return rows.mapInPandas(run, f"caller {kind}, call_id {calls.schema['call_id'].dataType.simpleString()}, allowed boolean")
 
 
-def stream_rate_limited(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """The same on a stream of calls(caller string, call_id long, ts): the state of a caller is its admitted times in the window."""
+def stream_rate_limited(calls: DataFrame, limit: int, window_s: float, delay: str | None = None) -> DataFrame:
+    """The same on a stream of calls(caller, call_id, ts); the state of a caller is its admitted times in the window.
+
+    With ``delay`` calls may come in any order within it: each is decided once the watermark has passed it, so the rows are those of
+    ``rate_limited`` however calls are dealt to micro-batches.  Without it calls (caller string, call_id long)
+    are decided as they arrive.
+    """
+    if delay is not None:
+        kinds = {c: calls.schema[c].dataType.simpleString() for c in ("caller", "call_id")}
+        rows = calls.select("caller", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(0).alias("rank"), F.col("call_id").alias("id"))
+        return run(rows, "caller", LimitInOrder(limit, window_s, kinds["call_id"]), f"caller {kinds['caller']}, call_id {kinds['call_id']}, allowed boolean", delay)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
@@ -76,6 +80,19 @@ def cached(answers: DataFrame, requests: DataFrame, seconds: int = 3600) -> Data
     return joined.select(*requests.columns, body.alias("body"))
 
 
+def stream_cached(events: DataFrame, seconds: int = 3600, delay: str | None = None) -> DataFrame:
+    """host, id, body for the requests in a stream of events(host, ts, id, body, status): answers have a status, requests an id.
+
+    With ``delay`` the rows are those of ``cached`` whatever the order of arrival; without it a request gets what is
+    cached when it comes, and Spark goes on with empty micro-batches to end answers in time, so such a query runs until it is stopped.
+    """
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("host", "id")}
+    rank = F.when(F.col("status").isNull(), 1).otherwise(0)
+    rows = events.select("host", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), rank.alias("rank"), "id", "body", F.col("status").cast("int").alias("status"))
+    processor = CacheOnArrival(seconds) if delay is None else CacheInOrder(seconds, kinds["id"])
+    return run(rows, "host", processor, f"host {kinds['host']}, id {kinds['id']}, body string", delay)
+
+
 def first_of_session(events: DataFrame, key: list[str]) -> DataFrame:
     """On a stream: each key once, as far back as its watermark; in batch: each key once."""
     return events.dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
