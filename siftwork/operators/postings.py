@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, clean, date_only, hash_id
 from ..plans.search import Term, searchable
-from .stored import stored
+from .components import connected_components
 
 LONGEST = 20_000
 
@@ -26,20 +26,13 @@ def deduplicated(postings: DataFrame) -> DataFrame:
     """One row for each ad: rows with equal id, or equal title and company whatever the case, are one ad.
 
     The longest text wins, the least id stays, searched words are united; postings without a title are dropped.
-    Ids and names alternate as keys until labels settle, so chains are followed; each round is two grouped minima.
+    Ids and names are the nodes of a graph whose components are the ads, so chains are followed however long they are.
     """
     rows = postings.where("title <> ''").withColumn("name_key", F.lower(F.concat_ws("|", "title", "company")))
-    links = stored(rows.select("id", "name_key").distinct().withColumn("label", F.col("id")), "labels")
-    while True:
-        by_name = links.groupBy("name_key").agg(F.min("label").alias("n"))
-        by_id = links.join(by_name, "name_key").groupBy("id").agg(F.min("n").alias("m"))
-        after = links.join(by_id, "id").select("id", "name_key", F.col("m").alias("label"))
-        after = stored(after, "labels")
-        changed = after.join(links.withColumnRenamed("label", "old"), ["id", "name_key"]).where("label <> old").limit(1).count()
-        links = after
-        if not changed:
-            break
-    labels = links.select("id", "label").distinct()
+    # Ids are below all names, so an ad's least member is an id.
+    ends = rows.select(F.concat(F.lit("0"), "id").alias("id_node"), F.concat(F.lit("1"), "name_key").alias("name_node"))
+    labels = connected_components(ends, "id_node", "name_node").where(F.col("node").startswith("0"))
+    labels = labels.select(F.substr("node", F.lit(2)).alias("id"), F.substr("component", F.lit(2)).alias("label"))
     grouped = rows.join(labels, "id").groupBy("label")
     best = F.max_by(F.struct("title", "company", "location", "url", "posted", "text", "source", "source_url"), F.struct(F.length("text"), F.col("id")))
     return grouped.agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("searched_for")))).alias("searched_for")).select(F.col("label").alias("id"), "b.*", "searched_for")
