@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +19,19 @@ def _runs(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.slice(words, i, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def _telling(stopwords: list[str]):
-    """At least two words that are longer than two letters and no stop words."""
-    return lambda run: F.size(F.filter(run, lambda w: (F.length(w) > 2) & ~w.isin(stopwords))) >= 2
-
-
 def phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
-    """Distinct phrases of a text, in order."""
-    keep = _telling(PHRASE_STOPWORDS if stopwords is None else stopwords)
-    return bind(tokens(text), lambda ws: F.array_distinct(F.transform(F.filter(_runs(ws, size), keep), lambda r: F.array_join(r, " "))))
+    """Distinct phrases of a text, in order: runs with at least two words longer than two letters that are no stop words."""
+    stopwords = PHRASE_STOPWORDS if stopwords is None else stopwords
+    word = lambda w: F.struct(w.alias("word"), ((F.length(w) > 2) & ~w.isin(stopwords)).cast("int").alias("telling"))
+
+    def from_words(ws: Column) -> Column:
+        run = lambda i: [F.get(ws, i + k) for k in range(size)]
+        telling = lambda i: reduce(add, [w["telling"] for w in run(i)]) >= 2
+        starts = F.filter(F.sequence(F.lit(0), F.size(ws) - size), telling)
+        made = F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[w["word"] for w in run(i)])))
+        return F.when(F.size(ws) >= size, made).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.transform(tokens(text), word), from_words)
 
 
 def overlap(a: Column, b: Column) -> Column:

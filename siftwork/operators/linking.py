@@ -6,13 +6,21 @@ ranked choice after it; no step compares all pairs.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions.parse import skills as skills_of
-from ..functions.phrases import overlap, phrases
-from ..functions.text import bind, file_stem, found, norm, quoted, title_similarity, title_words
+from ..functions.phrases import phrases
+from ..functions.text import WORD, bind, file_stem, found, norm, quoted, title_similarity, title_words
+from .set_join import overlapping
 from .stored import stored
 
 #: Blocking keeps this many smallest phrases of a text, and links at this overlap.
@@ -72,24 +80,50 @@ def same_holder(docs: DataFrame) -> DataFrame:
     return joined.select("id", (F.col("n_tags") - 1 - (F.coalesce("n_single", F.lit(0)) - own_single)).alias("same_holder"))
 
 
-def near_copies(docs: DataFrame, text: str = "text", size: int = 4, block: int = BLOCK, near: float = NEAR, stopwords: list[str] | None = None) -> DataFrame:
+def _phrase_sets(size: int, block: int, stopwords: list[str] | None):
+    """The phrase set of each lower-case text in one pass: its digest, its ``block`` smallest phrases, and all, as 64-bit hashes; texts without one are left out."""
+    stop = frozenset(d.PHRASE_STOPWORDS if stopwords is None else stopwords)
+    key = lambda p: xxhash.xxh64_intdigest(p) - (1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = regex.compile(WORD + "+")
+        for batch in batches:
+            for some in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                ids, wholes, keys, sets = [], [], [], []
+                for row, text in enumerate(some.column("text").to_pylist()):
+                    words = words_of.findall(text)
+                    telling = [0, *accumulate(len(w) > 2 and w not in stop for w in words)]
+                    found_ = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1) if telling[i + size] - telling[i] >= 2}
+                    if found_:
+                        ordered = sorted(found_)
+                        ids.append(row)
+                        wholes.append(hashlib.md5("\n".join(ordered).encode()).hexdigest())
+                        keys.append([key(p) for p in ordered[:block]])
+                        sets.append([key(p) for p in ordered])
+                columns = [some.column("id").take(pa.array(ids, pa.int64())), pa.array(wholes, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, sets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "whole", "keys", "set"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, text: str = "text", size: int = 4, block: int | None = BLOCK, near: float = NEAR, stopwords: list[str] | None = None) -> DataFrame:
     """a, b, overlap, how: the near copies among docs(id, text), and the exact copies of their phrase sets.
 
-    Rows of how 'near' are pairs of representatives that share one of their ``block`` smallest phrases and at least ``near`` of the
-    smaller set.  Equal sets have one representative, their smallest id; rows of how 'copy' give its members, so a large group of
-    copies gives one row a member and no pairs.  Phrases meet as 64-bit hashes, and pairs are ids until they are compared.
+    Rows of how 'near' are pairs of representatives that share at least ``near`` of the smaller set, found by an exact set join; with
+    ``block`` only pairs that share one of their ``block`` smallest phrases, with None all.  Equal sets have one representative, their
+    smallest id; rows of how 'copy' give its members, so a large group of copies gives one row a member and no pairs.  Phrases meet
+    as 64-bit hashes.
     """
-    hashes = lambda ps: F.transform(ps, lambda p: F.xxhash64(p))
-    found_ = docs.select("id", F.array_sort(phrases(F.col(text), size, stopwords)).alias("set")).where(F.size("set") > 0)
-    sets = stored(found_.select("id", F.md5(F.array_join("set", "\n")).alias("whole"), hashes(F.slice("set", 1, block)).alias("keys"), hashes(F.col("set")).alias("set")), "phrases")
+    texts = docs.select("id", F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    sets = stored(texts.mapInArrow(_phrase_sets(size, block or 0, stopwords), f"id {kind}, whole string, keys array<long>, set array<long>"), "phrases")
     first = sets.groupBy("whole").agg(F.min("id").alias("rep"))
     members = stored(sets.select("id", "whole").join(first, "whole").select("id", "rep"), "members")
-    reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "keys", "set")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    joined = pairs.join(reps.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    close = joined.select("a", "b", overlap(F.col("sa"), F.col("sb")).alias("overlap")).where(F.col("overlap") >= near)
+    reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "keys", F.array_distinct("set").alias("set"))
+    close = overlapping(reps.select("id", "set"), near)
+    if block:
+        side = lambda name: reps.select(F.col("id").alias(name), F.col("keys").alias(f"k_{name}"))
+        close = close.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("k_a", "k_b")).select("a", "b", "overlap")
     copies = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
     return close.withColumn("how", F.lit("near")).unionByName(copies.withColumn("how", F.lit("copy")))
 

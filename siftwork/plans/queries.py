@@ -178,6 +178,17 @@ def near_copies(spark, sf_dir):
     return pairs.select("a", "b", F.round("overlap", 9).alias("overlap"), "how")
 
 
+# Every pair of sets that shares a phrase at all is counted.
+@_query(f"""with every as (select id, list_sort(grams) as grams from {_shingles("documents", "doc_id")} where len(grams) > 0), sets as (select min(id) as id, grams from every group by grams),
+keys as (select id, unnest(grams) as key from sets), shared as (select a.id as a, b.id as b, count(*) as n from keys a join keys b using (key) where a.id < b.id group by a.id, b.id)
+select a, b, round(n / least(len(x.grams), len(y.grams)), 9) as overlap, 'near' as how from shared join sets x on x.id = a join sets y on y.id = b where n / least(len(x.grams), len(y.grams)) >= 0.8
+union all select sets.id, every.id, 1.0, 'copy' from every join sets using (grams) where every.id <> sets.id""")
+def near_copies_all(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").transform(_spread)
+    pairs = linking.near_copies(docs, block=None)
+    return pairs.select("a", "b", F.round("overlap", 9).alias("overlap"), "how")
+
+
 @_query(f"""with d as (select id, unnest(grams) as g from {_shingles("documents", "doc_id")}), b as (select id as tag, unnest(grams) as g from {_shingles("benchmark", "item_id")})
 select d.id, b.tag, count(*) as count from d join b using (g) group by all having count(*) >= 4""")
 def copied_phrases(spark, sf_dir):

@@ -146,7 +146,7 @@ def test_hashes_fold_utf16_units(spark):
     assert got == [("%x%x" % fold(alnum(t), 0), "j" + "".join(map(base36, fold(t, 7)))) for t in texts]
 
 
-@pytest.mark.parametrize("name", ["generated_scores", "tool_scores", "parsed_profiles", "rate_limits", "hash_ids", "deduplicated_postings", "page_links", "highlights", "html_text", "pages_as_postings", "near_copies", "merged_postings"])
+@pytest.mark.parametrize("name", ["generated_scores", "tool_scores", "parsed_profiles", "rate_limits", "hash_ids", "deduplicated_postings", "page_links", "highlights", "html_text", "pages_as_postings", "near_copies", "near_copies_all", "merged_postings"])
 def test_sql_agrees(spark, name):
     import duckdb
 
