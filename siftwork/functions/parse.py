@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionaries as d
+from .automaton import Phrases, flat, no_term_after, no_term_before
 from .text import bind, capitalised, found, quoted, text_hash
 
 _START, _END = r"(?<![\p{L}\p{N}#+.])", r"(?![\p{L}\p{N}#+])"
@@ -123,17 +125,14 @@ def _in(values: list[str]):
 def skills(text: Column, extra: list[str] | None = None, known: list[str] | None = None) -> Column:
     """Skills in list order, own ones first; a found skill is taken out of the text before the next is looked for."""
     listed = list(dict.fromkeys([*(s.lower() for s in extra or ()), *(d.SKILLS if known is None else known)]))
-    terms = F.array(*[F.struct(F.lit(s).alias("skill"), F.lit(f"(?iu){_whole(s)}").alias("pattern")) for s in listed])
-    start = F.struct(F.coalesce(text, F.lit("")).alias("rest"), F.array().cast("array<string>").alias("found"))
+    terms = Phrases([s.lower() for s in listed], no_term_before, no_term_after)
 
-    def step(state: Column, t: Column) -> Column:
-        hit = F.rlike(state["rest"], t["pattern"])
-        return F.struct(F.when(hit, F.regexp_replace(state["rest"], t["pattern"], F.lit(" "))).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["found"], F.array(t["skill"]))).otherwise(state["found"]).alias("found"))
+    def found_in(texts: pa.Array) -> pa.Array:
+        return pa.array([[listed[i] for i in terms.taken(flat(t))] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    # Only terms whose text occurs at all are tried, in order.
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    likely = bind(low, lambda plain: F.filter(terms, lambda t: F.contains(plain, t["skill"])))
-    return F.aggregate(likely, start, step, lambda s: s["found"])
+    # Type hints as objects: the function type is read from them.
+    found_in.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(found_in, "array<string>")(F.lower(text))
 
 
 def _month(date: Column, now: Column) -> Column:

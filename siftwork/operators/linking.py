@@ -7,16 +7,19 @@ ranked choice after it; no step compares all pairs.
 from __future__ import annotations
 
 import hashlib
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
+from ..functions.automaton import Phrases, flat
 from ..functions.parse import skills as skills_of
 from ..functions.phrases import phrases
 from ..functions.text import WORD, bind, file_stem, found, norm, quoted, title_similarity, title_words
@@ -25,6 +28,8 @@ from .stored import stored
 
 #: Blocking keeps this many smallest phrases of a text, and links at this overlap.
 BLOCK, NEAR = 8, 0.8
+#: Characters of a text in which people say what they apply for; targets that a task holds at once.
+HEAD, TARGETS = 1500, 20_000
 
 
 def link_letters(docs: DataFrame) -> DataFrame:
@@ -179,13 +184,54 @@ def _stem5(words: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(5))))
 
 
-def match_targets(docs: DataFrame, targets: DataFrame, known_skills: list[str] | None = None) -> DataFrame:
+class _Targets:
+    """A block of targets as a task holds it: their titles as an automaton, and for each skill the targets that want it."""
+
+    def __init__(self, rows: list):
+        self.titles = [(r.tag, r.title) for r in rows if r.titled]
+        self.names = Phrases([t.strip().lower() for _, t in self.titles])
+        self.wants, self.asking = [(r.tag, r.want) for r in rows if len(r.want) >= 3], {}
+        for i, (_, want) in enumerate(self.wants):
+            for skill in want:
+                self.asking.setdefault(skill, []).append(i)
+
+    def named(self, text: str) -> tuple[int, str, str] | None:
+        """How many tags a text names, the least of them, and the least title."""
+        hits = [self.titles[i] for i in self.names.whole(flat(text))]
+        return (len({tag for tag, _ in hits}), min(tag for tag, _ in hits), min(title for _, title in hits)) if hits else None
+
+    def fits(self, skills: list[str]) -> list[tuple]:
+        """The two best targets for some skills: share and number of wanted skills, then the least tag."""
+        have = set(skills)
+        got = Counter(i for skill in have for i in self.asking.get(skill, ()))
+        best = heapq.nsmallest(2, ((-n / len(self.wants[i][1]), -n, self.wants[i][0], i) for i, n in got.items()))
+        return [(-f, -n, len(self.wants[i][1]), tag, [s for s in self.wants[i][1] if s in have][:4]) for f, n, tag, i in best]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = pa.struct([("n", pa.int64()), ("tag", pa.string()), ("title", pa.string())])
+        fits = pa.list_(pa.struct([("f", pa.float64()), ("got", pa.int64()), ("n_want", pa.int64()), ("tag", pa.string()), ("listed", pa.list_(pa.string()))]))
+        show = lambda values, fields: dict(zip(fields, values))
+        for batch in batches:
+            names = [self.named(t) for t in batch.column("said").to_pylist()]
+            best = [self.fits(s or ()) for s in batch.column("skills").to_pylist()]
+            columns = [
+                batch.column("id"),
+                pa.array([v and show(v, ("n", "tag", "title")) for v in names], named),
+                pa.array([[show(v, ("f", "got", "n_want", "tag", "listed")) for v in vs] for vs in best], fits),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "named", "fits"])
+
+
+def match_targets(docs: DataFrame, targets: DataFrame, known_skills: list[str] | None = None, head: int | None = HEAD) -> DataFrame:
     """id, tag, how, why: the target each of docs(id, text, letter_text, skills) is for, from targets(tag, title, text).
 
     Tiers: a claim whose title is at least 0.6 similar; the one target whose title is named; the best fit on skills with a clear lead.
-    Ties go to the first claim, then the least tag.
+    Ties go to the first claim, then the least tag.  Of a text its letter and its first ``head`` characters are read (None: all).
+    Names and skills are looked up in one pass over docs for each block of at most TARGETS targets; no pair of a document and a
+    target becomes a row.
     """
-    docs = docs.select("id", F.coalesce("letter_text", F.lit("")).alias("letter"), F.substring(F.coalesce("text", F.lit("")), 1, 1500).alias("head"), "skills")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("id", F.coalesce("letter_text", F.lit("")).alias("letter"), (text if head is None else F.substring(text, 1, head)).alias("head"), "skills")
     known = d.SKILLS if known_skills is None else known_skills
     ads = targets.select("tag", "title", F.coalesce("text", F.lit("")).alias("text"), title_words(F.col("title")).alias("words"))
 
@@ -195,30 +241,38 @@ def match_targets(docs: DataFrame, targets: DataFrame, known_skills: list[str] |
     said = claims.join(by_word, "key").select("id", "place", "claim", "tag", "title").distinct().withColumn("s", title_similarity(F.col("claim"), F.col("title"))).where("s >= 0.6")
     applied = said.groupBy("id").agg(F.min_by(F.struct("tag", "claim"), F.struct(-F.col("s"), "place", "tag")).alias("b")).select("id", F.lit(1).alias("tier"), "b.tag", F.lit("applied").alias("how"), F.concat(F.lit("Says they apply for “"), F.left("b.claim", F.lit(70)), F.lit("”")).alias("why"))
 
-    heard = docs.select("id", F.concat_ws("\n", "letter", "head").alias("said"))
-    heard_words = heard.select("id", F.explode(title_words(F.col("said"))).alias("first"))
-    # A target is looked for only in texts that hold its first title word.
-    titled = ads.where(F.size("words") >= 2).select("tag", "title", F.get("words", F.lit(0)).alias("first"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.regexp_replace(F.regexp_replace(F.trim("title"), r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"\s+", r"\\s+"), F.lit(r"(?!\p{L})")).alias("pattern"))
-    likely = heard_words.join(titled, "first").select("id", "tag", "title", "pattern")
-    named = likely.join(heard, "id").where(F.rlike(F.col("said"), F.col("pattern"))).groupBy("id").agg(F.count_distinct("tag").alias("n"), F.min("tag").alias("tag"), F.min("title").alias("title")).where("n = 1")
-    named = named.select("id", F.lit(2).alias("tier"), "tag", F.lit("named").alias("how"), F.concat(F.lit("Names the target “"), "title", F.lit("”")).alias("why"))
-
-    wanted = ads.select("tag", skills_of(F.concat_ws("\n", "title", "text"), known=known).alias("want")).where(F.size("want") >= 3)
-    have = docs.select("id", F.explode(F.array_distinct("skills")).alias("skill"))
-    asked = wanted.select("tag", F.size("want").alias("n_want"), F.posexplode("want").alias("place", "skill"))
-    got = have.join(asked, "skill").groupBy("id", "tag", "n_want").agg(F.count("*").alias("got"), F.sort_array(F.collect_list(F.struct("place", "skill"))).alias("listed"))
-    got = got.withColumn("f", F.col("got") / F.col("n_want"))
-    order = Window.partitionBy("id").orderBy(F.desc("f"), F.desc("got"), "tag")
-    ranked = got.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("f").over(order))
-    others = F.when(F.lit(True), F.coalesce("next", F.lit(0.0)))
-    n_wanted = wanted.agg(F.count("*").alias("n_targets"))
-    fit = ranked.where("rank = 1").join(F.broadcast(n_wanted)).where((F.col("got") >= 3) & (F.col("f") >= 0.5) & ((F.col("n_targets") == 1) | (F.col("f") - others >= 0.2)))
-    fit = fit.select("id", F.lit(3).alias("tier"), "tag", F.lit("fit").alias("how"), F.concat(F.lit("Best fit on skills: "), F.col("got").cast("string"), F.lit(" of "), F.col("n_want").cast("string"), F.lit(" ("), F.array_join(F.slice(F.transform("listed", lambda x: x["skill"]), 1, 4), ", "), F.lit(")")).alias("why"))
-
-    tiers = applied.unionByName(named).unionByName(fit)
+    wanted = ads.select("tag", "title", (F.size("words") >= 2).alias("titled"), skills_of(F.concat_ws("\n", "title", "text"), known=known).alias("want"))
+    wanted = stored(wanted.select("tag", "title", "titled", F.when(F.size("want") >= 3, F.col("want")).otherwise(F.array().cast("array<string>")).alias("want")), "wanted")
+    n_rows, n_wanted = wanted.agg(F.count("*"), F.count_if(F.size("want") > 0)).first()
+    blocks = -(-n_rows // TARGETS)
+    kind = docs.schema["id"].dataType.simpleString()
+    heard = docs.select("id", F.lower(F.concat_ws("\n", "letter", "head")).alias("said"), "skills")
+    seen = None
+    for k in range(blocks):
+        # A block is bounded by TARGETS rows on average; a tag stays in one block.
+        some = wanted.where(F.pmod(F.xxhash64("tag"), F.lit(blocks)) == k).collect()
+        part = heard.mapInArrow(_Targets(some), f"id {kind}, named struct<n:long,tag:string,title:string>, fits array<struct<f:double,got:long,n_want:long,tag:string,listed:array<string>>>")
+        seen = part if seen is None else seen.unionByName(part)
+    if seen is None:
+        return applied.select("id", "tag", "how", "why")
+    if blocks > 1:
+        best = F.array_sort(F.flatten(F.collect_list("fits")), lambda x, y: F.when(_before(x, y), -1).otherwise(1))
+        named = F.struct(F.sum("named.n").alias("n"), F.min("named.tag").alias("tag"), F.min("named.title").alias("title"))
+        seen = seen.groupBy("id").agg(named.alias("named"), F.slice(best, 1, 2).alias("fits"))
+    names = seen.where("named.n = 1").select("id", F.lit(2).alias("tier"), "named.tag", F.lit("named").alias("how"), F.concat(F.lit("Names the target “"), "named.title", F.lit("”")).alias("why"))
+    lead = F.get("fits", F.lit(0))["f"] - F.coalesce(F.get("fits", F.lit(1))["f"], F.lit(0.0))
+    fit = seen.withColumn("b", F.get("fits", F.lit(0))).where((F.col("b.got") >= 3) & (F.col("b.f") >= 0.5) & (F.lit(n_wanted == 1) | (lead >= 0.2)))
+    fit = fit.select("id", F.lit(3).alias("tier"), "b.tag", F.lit("fit").alias("how"), F.concat(F.lit("Best fit on skills: "), F.col("b.got").cast("string"), F.lit(" of "), F.col("b.n_want").cast("string"), F.lit(" ("), F.array_join("b.listed", ", "), F.lit(")")).alias("why"))
+
+    tiers = applied.unionByName(names).unionByName(fit)
     return tiers.groupBy("id").agg(F.min_by(F.struct("tag", "how", "why"), "tier").alias("b")).select("id", "b.*")
 
 
+def _before(x: Column, y: Column) -> Column:
+    """Whether a fit comes before another: the larger share, then number, then the least tag."""
+    return (x["f"] > y["f"]) | (x["f"] == y["f"]) & ((x["got"] > y["got"]) | (x["got"] == y["got"]) & (x["tag"] < y["tag"]))
+
+
 def holders(docs: DataFrame, links: DataFrame) -> DataFrame:
     """docs(id, email, name) with holder: the own mail address or else name, else those of the résumé it is linked to; empty if none is known."""
     own = F.coalesce(F.nullif(F.lower(F.trim("email")), F.lit("")), F.nullif(norm(F.col("name")), F.lit("")))
