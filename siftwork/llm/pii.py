@@ -160,21 +160,25 @@ def disclosing_terms(texts: DataFrame, private: DataFrame, support: int, certain
     joint = pairs.groupBy("entity", "term", "n_entity", "n_texts", "at_least").agg(F.count("*").alias("together"))
     joint = materialize(joint.where((F.col("together") >= support) & (F.col("together") >= certainty * F.col("at_least"))).drop("at_least"), "joint")
 
+    # Surroundings come before the corpus is counted: what stands in copies of one passage only drops out here.
+    around = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(F.get("t", i).alias("term"), F.xxhash64(F.get("t", i - 1), F.get("t", i + 1)).alias("place")))
+    places = holding.select("text_key", _terms(F.col("text")).alias("t")).where("size(t) > 0").select("text_key", F.explode(around).alias("p")).select("text_key", "p.*")
+    wide = 24 + F.octet_length("term")
+    places = places.join(sized_broadcast(joint.select("term").distinct(), wide), "term").distinct()
+    # Each occurrence meets the entities of its text that the term may disclose.
+    met = places.join(held.select("entity", "text_key"), "text_key").join(sized_broadcast(joint.select("entity", "term"), 8 + wide), ["entity", "term"])
+    met = met.groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
+    effective = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
+    varied = met.groupBy("entity", "term").agg(effective.alias("surroundings")).where(F.col("surroundings") >= support - 1e-9).drop("surroundings")
+    joint = materialize(joint.join(varied, ["entity", "term"]), "varied")
+
     # One row for each distinct text, so copies count once.
-    wanted = sized_broadcast(joint.select("term").distinct(), 24 + F.octet_length("term"))
+    wanted = sized_broadcast(joint.select("term").distinct(), wide)
     everywhere = texts.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     counted = everywhere.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     known = F.col("together") / F.col("n_term")
     gained = F.log2(known * F.col("n_texts") / F.col("n_entity"))
-    scored = materialize(joint.join(counted, "term").where((known >= certainty) & (gained >= bits)).select("entity", "term"), "scored")
-
-    around = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(F.get("t", i).alias("term"), F.xxhash64(F.get("t", i - 1), F.get("t", i + 1)).alias("place")))
-    places = holding.select("text_key", _terms(F.col("text")).alias("t")).where("size(t) > 0").select("text_key", F.explode(around).alias("p")).select("text_key", "p.*")
-    places = places.join(sized_broadcast(scored.select("term").distinct(), 24 + F.octet_length("term")), "term").distinct()
-    # Each occurrence meets the entities of its text for which the term scored.
-    met = places.join(held.select("entity", "text_key"), "text_key").join(scored, ["entity", "term"]).groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
-    effective = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
-    return met.groupBy("entity", "term").agg(effective.alias("surroundings")).where(F.col("surroundings") >= support - 1e-9).select("term").distinct()
+    return joint.join(counted, "term").where((known >= certainty) & (gained >= bits)).select("term").distinct()
 
 
 def _spans(docs: DataFrame, support: int, certainty: float, bits: float, near: int | None) -> DataFrame:
