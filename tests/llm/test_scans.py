@@ -51,6 +51,44 @@ def test_candidates(spark):
     assert list(found.values()) == list(cases.values())
 
 
+def test_shapes_that_were_missed(spark, model):
+    """Passwords in addresses, names in other languages, random letters, and passwords that stand by themselves."""
+    cases = {
+        "connect to postgres://bob:s3cr3tPass99@host/db now": "s3cr3tPass99",
+        "le mot de passe : Fk3jq9Xz1p est": "Fk3jq9Xz1p",
+        "Das Passwort: Vt7kQm2xLw bitte": "Vt7kQm2xLw",
+        "la contraseña = Zr8wKp4mXd aquí": "Zr8wKp4mXd",
+        "use qzkvmwpxjtrbdfhg at once": "qzkvmwpxjtrbdfhg",
+        "it was hunter2#Zq9! that he typed": "hunter2#Zq9!",
+    }
+    found = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), model).collect()
+    assert {(r.doc_id, r.value_sha256) for r in found} == {(i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate(cases.values())}
+
+
+def test_precision_on_prose(spark, model):
+    """Published licence texts, and sentences with names, measures, addresses and long words that are no secrets."""
+    plain = [
+        "In 2019 the Boeing737 and an Airbus-A320 met at gate B12, 30km/h winds from the north-west.", "Windows10, iPhone13Pro and Playstation5 sell well; COVID-19 does not.", "Die Donaudampfschifffahrtsgesellschaft und das Rechtsschutzversicherungsgesellschaften sind lang.",
+        "See https://www.example.com/articles/2021/03/14/pi-day-2021.html or http://host:8080/path2 for more.", "Write to john.smith1984@mail.example before the 12th-century tour.", "The 1920x1080 screen and the 24-105mm lens cost 1,299.95 euros.", "version 3.11.4-beta2 of python3.11 needs libssl1.1 and glibc2.31",
+        "internationalisation and incomprehensibilities and telecommunications", "The password is required, and the token: optional, secret = undefined", "figure12b, table3a, section4.2.1, appendix-B7", "file_2021_03_final_v2.docx and IMG_20210314_101500.jpg", "Chapter12Verse3, Psalm119v105",
+    ]
+    folder = "/usr/share/common-licenses"
+    licences = [open(f"{folder}/{f}", encoding="utf-8", errors="replace").read() for f in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+    rows = list(enumerate(plain + licences))
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    wrong = [rows[r.doc_id][1][r.start : r.end] for r in found]
+    assert len(wrong) <= 3, wrong
+
+
+def test_ties_and_long_texts(spark, model):
+    """Equal findings of one text are told apart by place; a secret in a very long text is found at its place, and a very long candidate judged whole."""
+    line = 'token = "9f8a7c6b5e4d3c2b1a0f9e8d7c6b5a4f3e2d1c0b"'
+    long_ = "plain words and more of them, " * 40_000
+    rows = [(1, f"{line} {line}"), (2, long_ + line + long_), (3, "x1" * 200_000)]
+    found = [(r.doc_id, r.start) for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r.doc_id < 3]
+    assert sorted(found) == [(1, 9), (1, 9 + len(line) + 1), (2, len(long_) + 9)]
+
+
 def test_no_python_on_the_native_paths(spark, model, odd_docs):
     frames = [secret_scan.find_secrets(odd_docs, model), licenses.find_licenses(odd_docs, licenses.known_texts(spark)), pii.find_private(odd_docs), pii.sanitise(odd_docs)]
     for df in frames:
