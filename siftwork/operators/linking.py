@@ -48,9 +48,12 @@ def link_letters(docs: DataFrame) -> DataFrame:
     keyed = sound.select("id", "kind", "tag", "added_at", F.explode(keys).alias("k")).select("id", "kind", "tag", "added_at", "k.*").where("key is not null")
     letters = keyed.where("kind = 'letter'").select(F.col("id").alias("letter_id"), F.col("tag").alias("letter_tag"), "rule", "how", "key")
     cvs = keyed.where("kind <> 'letter'").select(F.col("id").alias("cv_id"), F.col("tag").alias("cv_tag"), "added_at", "rule", "key")
-    pairs = letters.join(cvs, ["rule", "key"])
-    best = F.min_by(F.struct("cv_id", "how"), F.struct(F.col("rule"), F.when(F.col("cv_tag") == F.col("letter_tag"), 0).otherwise(1), -F.col("added_at").cast("long"), F.col("cv_id")))
-    return pairs.groupBy("letter_id").agg(best.alias("b")).select("letter_id", "b.*")
+    # One résumé a key and tag, and one a key, before any letter meets it: a name that many share stays one row.
+    latest = F.min_by("cv_id", F.struct(-F.col("added_at").cast("long"), F.col("cv_id")))
+    of_tag = cvs.groupBy("rule", "key", F.col("cv_tag").alias("letter_tag")).agg(latest.alias("tagged"))
+    of_key = cvs.groupBy("rule", "key").agg(latest.alias("any"))
+    pairs = letters.join(of_key, ["rule", "key"]).join(of_tag, ["rule", "key", "letter_tag"], "left").withColumn("cv_id", F.coalesce("tagged", "any"))
+    return pairs.groupBy("letter_id").agg(F.min_by(F.struct("cv_id", "how"), "rule").alias("b")).select("letter_id", "b.*")
 
 
 def with_letters(docs: DataFrame, links: DataFrame) -> DataFrame:

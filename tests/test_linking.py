@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -30,6 +31,23 @@ def test_letters(spark):
     assert "l2" not in {r.id for r in gone.collect()}
 
 
+def test_letters_against_every_pair(spark):
+    """Many of one name, shared mail addresses, tags that are null, and ties of time."""
+    rng = random.Random(12)
+    pick = lambda xs: rng.choice(xs)
+    rows = [(f"d{k:03d}", pick(["cv", "letter"]), pick(["", "a@x.example", "B@x.example ", "b@x.example"]), pick(["", "Ann Smit", "ann  smit", "Jo"]), pick(["", "piet-pot.pdf", "Piet_Pot_cv.docx", "ab.pdf"]), pick(["", "c1", "c2"]), pick(["T1", "T2", None]), datetime(2026, 1, pick([1, 2, 3])), None) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id string, kind string, email string, name string, file_name string, capture_id string, tag string, added_at timestamp, error string")
+    stem = {"piet-pot.pdf": "piet pot", "Piet_Pot_cv.docx": "piet pot", "": "", "ab.pdf": ""}
+    keys = lambda r: [r[2].strip().lower(), " ".join(r[3].lower().split()), r[5], stem[r[4]]]
+    expected = set()
+    for letter in (r for r in rows if r[1] == "letter"):
+        hits = [(rule, not (letter[6] is not None and cv[6] == letter[6]), -cv[7].timestamp(), cv[0]) for cv in rows if cv[1] == "cv" for rule in range(4) if keys(letter)[rule] and keys(letter)[rule] == keys(cv)[rule]]
+        if hits:
+            best = min(hits)
+            expected.add((letter[0], best[3], ["email", "name", "capture", "file"][best[0]]))
+    assert {(r.letter_id, r.cv_id, r.how) for r in linking.link_letters(docs).collect()} == expected and len({h for _, _, h in expected}) == 4
+
+
 def test_targets(spark):
     targets = spark.createDataFrame([("t1", "Sales Manager", "sell"), ("t2", "Verpleegkundige", "zorg"), ("t3", "Data Engineer", "python sql spark airflow kafka"), ("t4", "Office Manager", "excel planning administratie")], "tag string, title string, text string")
     rows = [

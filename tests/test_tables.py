@@ -1,5 +1,6 @@
 """Keyed tables, lists, postings' sources, reports and caches on small tables."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -123,6 +124,9 @@ def test_shared_folder(spark):
     assert stored.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     df = spark.range(3).withColumn("x", F.lit("a"))
     assert rows_of(stored.stored(df, "t")) == [(0, "a"), (1, "a"), (2, "a")]
+    assert stored.drop_stored(spark) > 0 and stored.drop_stored(spark) == 0
+    folder = stored.shared_folder(spark).removeprefix("file:")
+    assert not any(f.startswith("t-") for f in os.listdir(f"{folder}/siftwork"))
 
 
 def test_hashes_fold_utf16_units(spark):
