@@ -5,7 +5,7 @@ strings have a sampled position at the same offset, names them, and settles the
 remaining suffixes from (distance to a sampled one, its name).  Here the cover
 is drawn from the text itself: in every window of ``length`` bytes the position
 whose 64-byte gram has the least hash (ties: leftmost) is sampled.  Equal
-windows sample the same offset, which is all the scheme needs, at 1/170 of the
+windows sample the same offset, which is all the scheme needs, at 1/130 of the
 positions where a residue cover for 400 bytes needs 1/17 and triples 2/3.
 
 1. Sample: one pass yields for each sampled position its gram's name and the
