@@ -19,8 +19,8 @@ def _runs(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.slice(words, i, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
-    """Distinct phrases of a text, in order: runs with at least two words longer than two letters that are no stop words."""
+def placed_phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
+    """Array of (at, phrase) in order: runs with at least two words longer than two letters that are no stop words."""
     stopwords = PHRASE_STOPWORDS if stopwords is None else stopwords
     word = lambda w: F.struct(w.alias("word"), ((F.length(w) > 2) & ~w.isin(stopwords)).cast("int").alias("telling"))
 
@@ -28,12 +28,17 @@ def phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None)
         run = lambda i: [F.get(ws, i + k) for k in range(size)]
         telling = lambda i: reduce(add, [w["telling"] for w in run(i)]) >= 2
         starts = F.filter(F.sequence(F.lit(0), F.size(ws) - size), telling)
-        made = F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[w["word"] for w in run(i)])))
-        return F.when(F.size(ws) >= size, made).otherwise(F.array().cast("array<string>"))
+        made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[w["word"] for w in run(i)]).alias("phrase")))
+        return F.when(F.size(ws) >= size, made).otherwise(F.array().cast("array<struct<at:int,phrase:string>>"))
 
     return bind(F.transform(tokens(text), word), from_words)
 
 
+def phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
+    """Distinct phrases of a text, in order."""
+    return F.array_distinct(F.transform(placed_phrases(text, size, stopwords), lambda p: p["phrase"]))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared share of the smaller set; 0 if one is empty."""
     smaller = F.least(F.size(a), F.size(b))

@@ -15,14 +15,14 @@ from itertools import accumulate
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions.automaton import Phrases, flat
 from ..functions.parse import skills as skills_of
-from ..functions.phrases import phrases
-from ..functions.text import WORD, bind, file_stem, found, norm, quoted, title_similarity, title_words
+from ..functions.phrases import phrases, placed_phrases
+from ..functions.text import WORD, bind, file_stem, found, norm, quoted, title_similarity, title_words, tokens
 from .set_join import overlapping
 from .stored import stored
 
@@ -319,3 +319,22 @@ def copied_phrases(docs: DataFrame, targets: DataFrame, least: int = 4, size: in
     mine = docs.select("id", F.explode(phrases(F.col("text"), size, stopwords)).alias("phrase"))
     theirs = targets.select("tag", F.explode(phrases(F.col("text"), size, stopwords)).alias("phrase"))
     return mine.join(theirs, "phrase").groupBy("id", "tag").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+
+
+def copied_runs(docs: DataFrame, targets: DataFrame, least: int = 4, size: int = 4, stopwords: list[str] | None = None) -> DataFrame:
+    """id, tag, count, run, first_word, words for docs(id, text) and targets(tag, text) that share at least ``least`` phrases.
+
+    count: shared phrases; run: phrases of the longest stretch of a text whose phrases all stand in the target (the first of equals);
+    first_word: its place, from 0; words: the stretch itself.  Places of shared phrases are the rows of a join on the phrase; a stretch
+    is an island of places that follow each other.
+    """
+    mine = docs.select("id", F.explode(placed_phrases(F.col("text"), size, stopwords)).alias("p")).select("id", "p.*")
+    theirs = targets.select("tag", F.explode(phrases(F.col("text"), size, stopwords)).alias("phrase")).distinct()
+    hits = mine.join(theirs, "phrase")
+    enough = hits.groupBy("id", "tag").agg(F.count_distinct("phrase").alias("count")).where(F.col("count") >= least)
+    place = F.row_number().over(Window.partitionBy("id", "tag").orderBy("at"))
+    islands = hits.select("id", "tag", "at", (F.col("at") - place).alias("island")).groupBy("id", "tag", "island").agg(F.count("*").alias("run"), F.min("at").alias("at"))
+    longest = islands.groupBy("id", "tag").agg(F.min_by(F.struct("run", "at"), F.struct(-F.col("run"), F.col("at"))).alias("b"))
+    best = enough.join(longest, ["id", "tag"]).select("id", "tag", "count", "b.run", "b.at")
+    words = F.array_join(F.slice(tokens(F.coalesce("text", F.lit(""))), F.col("at") + 1, (F.col("run") + size - 1).cast("int")), " ")
+    return best.join(docs.select("id", "text"), "id").select("id", "tag", "count", "run", F.col("at").alias("first_word"), words.alias("words"))

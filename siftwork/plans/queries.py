@@ -196,6 +196,22 @@ def copied_phrases(spark, sf_dir):
     return linking.copied_phrases(docs, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("tag"), "text"))
 
 
+# Places of shared phrases are islands where they follow each other.
+@_query(rf"""with w as (select doc_id as id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from documents),
+p as (select id, i, array_to_string(ws[i:i+3], ' ') as phrase from (select id, ws, unnest(range(1, len(ws) - 2)) as i from w)),
+t as (select id as tag, unnest(grams) as phrase from {_shingles("benchmark", "item_id")}),
+h as (select p.id, tag, i, phrase from p join t using (phrase)),
+n as (select id, tag, i, i - row_number() over (partition by id, tag order by i) as island from h),
+r as (select id, tag, island, count(*) as run, min(i) - 1 as first_word from n group by id, tag, island),
+b as (select id, tag, run, first_word, row_number() over (partition by id, tag order by run desc, first_word) as place from r),
+c as (select id, tag, count(distinct phrase) as count from h group by id, tag having count(distinct phrase) >= 4)
+select id, tag, count, run, first_word::int as first_word, array_to_string(ws[first_word + 1:first_word + run + 3], ' ') as words from b join c using (id, tag) join w using (id) where place = 1""")
+def copied_runs(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("tag"), "text")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").transform(_spread)
+    return linking.copied_runs(docs, items)
+
+
 def _decoded_sql(text: str) -> str:
     """Character references in SQL: numbers, then names in the order of the table."""
     out = rf"""list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '&#[0-9]{{1,7}};'))), lambda acc, m: replace(acc, m, case when m[3:-2]::int between 1 and 1114111 and m[3:-2]::int not between 55296 and 57343 then chr(m[3:-2]::int) else m end))"""

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.functions.phrases import copied
 from siftwork.operators import linking, set_join
 
 
@@ -54,3 +55,25 @@ def test_near_copies_with_and_without_blocks(spark):
     assert all_ == {(1, 2, "near"), (1, 3, "near"), (2, 3, "near"), (1, 4, "copy")}
     blocked = {(r.a, r.b, r.how) for r in linking.near_copies(docs).collect()}
     assert blocked == {(1, 3, "near"), (1, 4, "copy")}
+
+
+def test_longest_copied_run(spark):
+    """As the function on one text and one source has it, for all texts and sources at once."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(30)] + ["the", "of", "to"]
+    sources = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))]
+        for _ in range(rng.randrange(0, 4)):
+            source = rng.choice(sources).split()
+            at = rng.randrange(50)
+            ws += source[at : at + rng.randrange(4, 12)] + [rng.choice(vocabulary) for _ in range(rng.randrange(0, 3))]
+        texts.append(" ".join(ws))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    targets = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(sources)], "tag string, text string")
+    pairs = docs.join(targets.withColumnRenamed("text", "source")).select("id", "tag", copied(F.col("text"), F.col("source")).alias("c"))
+    expected = {(r.id, r.tag): (r.c["count"], r.c.example) for r in pairs.collect() if r.c["count"] >= 4}
+    found = linking.copied_runs(docs, targets).collect()
+    assert {(r.id, r.tag): (r["count"], r.words[:90]) for r in found} == expected and len(expected) > 20
+    assert all(texts[r.id].split()[r.first_word : r.first_word + r.run + 3] == r.words.split() for r in found)

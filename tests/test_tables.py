@@ -150,14 +150,14 @@ def test_hashes_fold_utf16_units(spark):
     assert got == [("%x%x" % fold(alnum(t), 0), "j" + "".join(map(base36, fold(t, 7)))) for t in texts]
 
 
-@pytest.mark.parametrize("name", ["generated_scores", "tool_scores", "parsed_profiles", "rate_limits", "hash_ids", "deduplicated_postings", "page_links", "highlights", "html_text", "pages_as_postings", "near_copies", "near_copies_all", "merged_postings"])
+@pytest.mark.parametrize("name", ["generated_scores", "tool_scores", "parsed_profiles", "rate_limits", "hash_ids", "deduplicated_postings", "page_links", "highlights", "html_text", "pages_as_postings", "near_copies", "near_copies_all", "merged_postings", "copied_runs", "copied_phrases"])
 def test_sql_agrees(spark, name):
     import duckdb
 
     from siftwork.plans.queries import ORACLES, QUERIES
 
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "events"):
+    for t in ("documents", "pages", "events", "benchmark"):
         db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     df = QUERIES[name](spark, folder)
     cols = sorted(df.columns)
