@@ -90,10 +90,13 @@ def setting(table: DataFrame, key: str, kind: str, fallback: object = None) -> o
     return fallback if row is None or row.v is None else row.v
 
 
-def store_settings(table: DataFrame, values: dict[str, object], path: str) -> None:
-    """Values replace those of their keys; path is another one than the table was read from."""
+def store_settings(table: DataFrame, values: dict[str, object], to: object) -> None:
+    """Values replace those of their keys; to is a versioned table, which may be the one that was read, or the path of another one."""
     rows = table.sparkSession.createDataFrame([(k, json.dumps({"v": v})) for k, v in values.items()], "key string, value string")
-    upsert(table, rows, "key").write.mode("overwrite").parquet(path)
+    if isinstance(to, str):
+        upsert(table, rows, "key").write.mode("overwrite").parquet(to)
+    else:
+        to.upsert(rows)
 
 
 def between(ordered: DataFrame, first: str, last: str, position: str = "position") -> DataFrame:
