@@ -45,7 +45,7 @@ BINS = 256
 #: A band scheme may miss a pair at the threshold with this probability at most.
 MISS = 1e-8
 #: A cluster up to this many members and bytes is compared in one block.
-BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
+BLOCK_MEMBERS, BLOCK_BYTES = 256, 4 << 20
 #: Members of a large cluster that are compared with all of it in the first round; centres in a block of the second.
 PIVOTS, CENTRES = 16, 64
 

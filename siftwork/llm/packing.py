@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 #: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 #: Pieces of one length are ranked in buckets of about this many.
 RANKED = 50_000
 #: A space before other white space, or at the end.
