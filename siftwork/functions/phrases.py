@@ -5,20 +5,17 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import PHRASE_STOPWORDS
-from .text import bind, tokens
+from .text import WORD, bind, tokens
 
 SIZE = 4
 
 
-def _runs(words: Column, size: int) -> Column:
-    """All runs of words in order; empty if there are too few (a sequence would count down)."""
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.slice(words, i, size))).otherwise(F.array().cast("array<array<string>>"))
-
-
 def placed_phrases(text: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
     """Array of (at, phrase) in order: runs with at least two words longer than two letters that are no stop words."""
     stopwords = PHRASE_STOPWORDS if stopwords is None else stopwords
@@ -45,22 +42,35 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).otherwise(F.lit(0.0))
 
 
-def copied(text: Column, source: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
-    """struct(count, example): phrases of source in text, and the longest copied run (the first of equals), 90 characters of it."""
+def copied_run(text: str, source: str, size: int, stopwords: frozenset) -> tuple[int, str]:
+    """How many phrases of source a lower-case text has, and its longest run of them (the first of equals), 90 characters of it."""
+    words_of = regex.compile(WORD + "+").findall
+    theirs = words_of(source)
+    telling = [len(w) > 2 and w not in stopwords for w in theirs]
+    known = {tuple(theirs[i : i + size]) for i in range(len(theirs) - size + 1) if sum(telling[i : i + size]) >= 2}
+    if not known:
+        return 0, ""
+    first, words = {k[0] for k in known}, words_of(text)
+    seen, run, last, best, start = set(), 0, -2, 0, 0
+    for at in (i for i in range(len(words) - size + 1) if words[i] in first):
+        phrase = tuple(words[at : at + size])
+        if phrase in known:
+            seen.add(phrase)
+            run, last = run + 1 if at == last + 1 else 1, at
+            if run > best:
+                best, start = run, at + 1 - run
+    return len(seen), " ".join(words[start : start + best + size - 1])[:90] if best else ""
 
-    def from_sets(s: Column) -> Column:
-        words, known = s["words"], s["known"]
-        hits = F.transform(_runs(words, size), lambda r: F.array_contains(known, F.array_join(r, " ")))
-        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("at"))
 
-        def step(a: Column, hit: Column) -> Column:
-            run = F.when(hit, a["run"] + 1).otherwise(0)
-            longer = run > a["best"]
-            return F.struct((a["i"] + 1).alias("i"), run.alias("run"), F.when(longer, run).otherwise(a["best"]).alias("best"), F.when(longer, a["i"] + 1 - run).otherwise(a["at"]).alias("at"))
+def copied(text: Column, source: Column, size: int = SIZE, stopwords: list[str] | None = None) -> Column:
+    """struct(count, example): phrases of source in text, and the longest copied run, as in ``copied_run``."""
+    stop = frozenset(PHRASE_STOPWORDS if stopwords is None else stopwords)
 
-        longest = F.aggregate(hits, start, step)
-        count = F.size(F.array_intersect(F.transform(_runs(words, size), lambda r: F.array_join(r, " ")), known))
-        return bind(longest, lambda b: F.struct(count.alias("count"), F.when(b["best"] > 0, F.left(F.array_join(F.slice(words, b["at"] + 1, b["best"] + size - 1), " "), F.lit(90))).otherwise("").alias("example")))
+    def found_in(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        rows = [dict(zip(("count", "example"), copied_run(t, s, size, stop), strict=True)) for t, s in zip(texts.to_pylist(), sources.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([("count", pa.int32()), ("example", pa.string())]))
 
-    sets = F.struct(tokens(F.coalesce(text, F.lit(""))).alias("words"), phrases(F.coalesce(source, F.lit("")), size, stopwords).alias("known"))
-    return bind(sets, from_sets)
+    # Type hints as objects: the function type is read from them.
+    found_in.__annotations__ = {"texts": pa.Array, "sources": pa.Array, "return": pa.Array}
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return F.arrow_udf(found_in, "count int, example string")(low(text), low(source))

@@ -113,3 +113,10 @@ def test_tables_and_facets(spark):
     assert [r.id for r in tables.between(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, position int"), "c", "b").collect()] == ["b", "c"]
     spans = spark.createDataFrame([(1, 0, 10), (1, 5, 12), (1, 12, 13), (1, 20, 25), (2, 3, 3)], "k int, a int, b int")
     assert {(r.k, r.covered, r.n_islands) for r in union_length(spans, "k", "a", "b").collect()} == {(1, 18, 2), (2, 0, 1)}
+
+
+def test_fingerprints_are_made_once(spark):
+    """The hash of a text is costly, so its plan stands in no plan that counts or joins it."""
+    docs = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, text string").selectExpr("id", "md5(text) as hash")
+    copies = linking.exact_copies(docs)
+    assert "md5" not in copies._jdf.queryExecution().optimizedPlan().toString() and copies.count() == 2

@@ -1,5 +1,6 @@
 """Keyed tables, lists, postings' sources, reports and caches on small tables."""
 
+import itertools
 import os
 from datetime import datetime
 
@@ -164,3 +165,19 @@ def test_sql_agrees(spark, name):
     mine = sorted(str([str(r[c]) for c in cols]) for r in df.collect())
     theirs = db.execute(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()
     assert mine and mine == sorted(str([str(v) for v in row]) for row in theirs)
+
+
+def test_folds_equal_a_plain_loop():
+    import random
+
+    import numpy as np
+
+    from siftwork.functions.text import folds
+
+    rng = random.Random(1)
+    for n, most in itertools.product((0, 1, 2, 9, 3000), (0, 1, 127, 255, 256, 65535)):
+        units = [rng.randrange(most + 1) for _ in range(n)]
+        a, b = 0x811C9DC5, 7
+        for c in units:
+            a, b = ((a ^ c) * 16777619) & 0xFFFFFFFF, (b * 31 + c) & 0xFFFFFFFF
+        assert folds(np.array(units, np.uint32), 7) == (a, b)
