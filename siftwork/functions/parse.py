@@ -39,7 +39,10 @@ _EDUCATION = [
 ]
 _MONTH_NAMES = sorted((n for ns in d.MONTHS.values() for n in ns), key=len, reverse=True)
 _DATE = rf"(?:(?:{'|'.join(_MONTH_NAMES)})\.?\s+[0-9]{{4}}|[0-9]{{1,2}}[/.-][0-9]{{4}}|[0-9]{{4}})"
-_RANGE = rf"(?iu)({_DATE})\s*(?:-|–|—|t/m|tot|to|until|bis|à)\s*({_DATE}|(?:{d.TODAY_WORDS}))"
+_UNTIL = rf"\s*(?:-|–|—|t/m|tot|to|until|bis|à)\s*({_DATE}|(?:{d.TODAY_WORDS}))"
+_RANGE = rf"(?iu)({_DATE}){_UNTIL}"
+# Every date ends with a year, so a text without this has no range; it starts at digits alone, which most texts hardly have.
+_RANGE_END = rf"(?iu)[0-9]{{4}}{_UNTIL}"
 
 
 def squeezed(text: Column) -> Column:
@@ -67,7 +70,7 @@ def name(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"[\w.+-]+@[\w-]+(\.[\w-]+)+", 0))
+    return F.lower(F.when(F.contains(text, F.lit("@")), F.regexp_extract(text, r"[\w.+-]+@[\w-]+(\.[\w-]+)+", 0)).when(text.isNotNull(), ""))
 
 
 def phone(text: Column) -> Column:
@@ -154,9 +157,10 @@ def spans(text: Column, as_of: Column) -> Column:
         t = F.trim(raw)
         short = F.length(t) < 40
         study = F.when(short & t.rlike(_STUDY), F.lit(True)).when(short & t.rlike(_WORK), F.lit(False)).otherwise(s["study"])
-        return F.struct(study.alias("study"), F.when(~study & t.rlike(_RANGE), F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"))
+        return F.struct(study.alias("study"), F.when(~study & t.rlike(_RANGE_END) & t.rlike(_RANGE), F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"))
 
-    work = F.aggregate(F.split(text, "\n"), state, line, lambda s: s["kept"])
+    # Of a text without any range no line is read.
+    work = F.aggregate(F.split(F.when(text.rlike(_RANGE_END), text).when(text.isNotNull(), ""), "\n"), state, line, lambda s: s["kept"])
     ranges = F.flatten(F.transform(work, lambda t: F.arrays_zip(found(t, _RANGE, 1).alias("a"), found(t, _RANGE, 2).alias("b"))))
     months = F.transform(ranges, lambda r: F.struct(_month(r["a"], now).alias("a"), _month(r["b"], now).alias("b")))
     valid = F.filter(months, lambda r: r["a"].isNotNull() & r["b"].isNotNull() & (r["b"] >= r["a"]) & (r["a"] >= 1960 * 12) & (r["b"] <= now + 1))
@@ -178,8 +182,9 @@ def years(text: Column, as_of: Column) -> Column:
 
 
 def education(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda acc, lp: F.when(low.rlike(lp[1]), F.lit(lp[0])).otherwise(acc), _EDUCATION[::-1], F.lit(""))
+    # One pass finds the texts that name any level; only these are asked for each.
+    best = lambda low: reduce(lambda acc, lp: F.when(low.rlike(lp[1]), F.lit(lp[0])).otherwise(acc), _EDUCATION[::-1], F.lit(""))
+    return bind(F.lower(text), lambda low: F.when(low.rlike("|".join(p for _, p in _EDUCATION)), best(low)).otherwise(""))
 
 
 # What tells a letter from a résumé.

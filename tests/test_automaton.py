@@ -117,3 +117,15 @@ def test_tiers_against_every_pair(spark, block, monkeypatch):
     assert {how for _, how in found.values()} == {"applied", "named", "fit"}
     none = linking.match_targets(docs, spark.createDataFrame([], "tag string, title string, text string"), known_skills=SKILLS)
     assert none.count() == 0
+
+
+def test_likely_phrases_leave_no_taken_one_out():
+    """What is taken equals taking by all phrases that occur, and a letter inside words is not looked for in the text."""
+    from siftwork.functions.automaton import no_term_after, no_term_before
+
+    terms = Phrases(["r", "c#", ".net", "asp", "machine learning", "sql"], no_term_before, no_term_after)
+    assert terms.likely("a harder word") == set() and terms.inside("a harder word") == [0]
+    for text in ("asp.net", "xmachine learning machine sql learning", "r c#, r", "sql.r"):
+        slow = Phrases(terms.phrases, no_term_before, no_term_after)
+        slow.likely = lambda t, s=slow: set(s.inside(t))
+        assert terms.taken(text) == slow.taken(text)
