@@ -77,3 +77,13 @@ def test_longest_copied_run(spark):
     found = linking.copied_runs(docs, targets).collect()
     assert {(r.id, r.tag): (r["count"], r.words[:90]) for r in found} == expected and len(expected) > 20
     assert all(texts[r.id].split()[r.first_word : r.first_word + r.run + 3] == r.words.split() for r in found)
+
+
+def test_only_candidates_members_are_compared(spark, monkeypatch):
+    """Members of sets that are in no candidate pair are not stored for the comparison."""
+    kept = {}
+    whole = set_join.stored
+    monkeypatch.setattr(set_join, "stored", lambda df, name: kept.setdefault(name, whole(df, name)))
+    sets = {i: {i * 100 + k for k in range(30)} | {7} for i in range(20)} | {50: {100 + k for k in range(29)} | {7}}
+    found = [(r.a, r.b) for r in set_join.overlapping(table(spark, sets), 0.8).collect()]
+    assert found == [(1, 50)] and {r.id for r in kept["compared"].collect()} == {1, 50}
