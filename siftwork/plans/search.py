@@ -215,12 +215,15 @@ def suggestions(df: DataFrame, misspelled: str, text: str = "text", known: list[
     from ..functions.text import alignment_distance
 
     spark, low = df.sparkSession, misspelled.lower()
-    heard = df.select(F.explode(F.array_distinct(F.filter(tokens(F.col(text)), lambda w: w.rlike(r"^\p{L}{3,}$")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("place", F.lit(1 << 30))
+    # Words that cannot be an answer are dropped where they stand, before any shuffle.
+    heard = df.select(F.explode(F.array_distinct(F.filter(tokens(F.col(text)), lambda w: w.startswith(low[:1]) & (w != low) & w.rlike(r"^\p{L}{3,}$")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("place", F.lit(1 << 30))
     if known:
         listed = spark.createDataFrame([(w, 0, i) for i, w in enumerate(known)], "word string, n long, place int")
         heard = heard.select("word", "n", "place").unionByName(listed).groupBy("word").agg(F.max("n").alias("n"), F.min("place").alias("place"))
     near = heard.where((F.length("word") >= 3) & (F.col("word") != low) & F.col("word").startswith(low[:1]))
-    near = near.withColumn("distance", alignment_distance(stem(F.lit(low)), stem(F.col("word")))).where("distance <= 2")
+    # A swap is two plain edits, so words beyond four of these are further than two; the exact distance is left to the few others.
+    close = F.levenshtein(stem(F.lit(low)), stem(F.col("word")), 4) >= 0
+    near = near.withColumn("distance", F.when(close, alignment_distance(stem(F.lit(low)), stem(F.col("word"))))).where("distance <= 2")
     return near.orderBy("distance", "place", F.desc("n"), "word").select("word", "distance", "n").limit(1)
 
 

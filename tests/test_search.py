@@ -67,3 +67,11 @@ def test_words_alike(spark):
     text = spark.createDataFrame([("python and sql",), ("python",)], "text string")
     assert s.suggestions(text, "pyton").first().word == "python"
     assert s.suggestions(text, "zzzz").count() == 0
+
+
+def test_suggestions_drop_other_words_before_the_shuffle(spark):
+    from siftwork.plans import search as s
+
+    df = s.suggestions(spark.createDataFrame([("thing things other thgin tin",), ("thgin",)], "text string"), "thingg")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "levenshtein" in plan and [r.word for r in df.collect()] == ["thing"]
