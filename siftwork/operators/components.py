@@ -16,7 +16,8 @@ def large_star(pairs: DataFrame, split: bool = False) -> DataFrame:
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     least = stored(least, "least") if split else least
-    return stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    # An edge gives one row at most, so repeated rows can wait for the small star.
+    return stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
 
 
 def small_star(pairs: DataFrame, split: bool = False) -> DataFrame:
@@ -27,6 +28,13 @@ def small_star(pairs: DataFrame, split: bool = False) -> DataFrame:
     return stored(pairs.join(least, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct(), "small")
 
 
+def are_stars(pairs: DataFrame) -> bool:
+    """Whether of pairs(u, v) with u > v, each once, no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = pairs.select("u", F.lit(1).alias("n")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("n")))
+    nodes = ends.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    return not nodes.where("n > 1 or n = 1 and least = 0").limit(1).count()
+
+
 def contract(pairs: DataFrame, split: bool = False) -> DataFrame:
     """One round: two large stars and a small one; a chain shrinks to less than half in each."""
     return small_star(large_star(large_star(pairs, split), split), split)
@@ -40,12 +48,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = stored(pairs, "edges")
-    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = digest(pairs)
-    while True:
-        pairs = contract(pairs, seen[0] > SMALL)
-        now = digest(pairs)
-        if now == seen:
-            break
-        seen = now
+    # Stars are what rounds end with; edges that are stars already, as those of single groups, need none.
+    while not are_stars(pairs):
+        pairs = contract(pairs, pairs.count() > SMALL)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

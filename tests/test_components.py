@@ -44,3 +44,12 @@ def test_a_long_chain_of_ads(spark, monkeypatch):
     assert len(found) == 1 and found[0].id == min(r[0] for r in rows)
     assert found[0].searched_for == ["w0", "w1", "w2"] and len(found[0].text) == 7
     assert len(rounds) < 12
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    rounds = []
+    whole = components.contract
+    monkeypatch.setattr(components, "contract", lambda *a: rounds.append(1) or whole(*a))
+    stars = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21), (20, 21)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(stars, "a", "b").collect()} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20)}
+    assert not rounds
