@@ -37,6 +37,8 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h h
 LOOKUP = 2_000_000
 #: Distinct words a worker remembers.
 MEMORY = 300_000
+#: First bits of a window's name by which most windows are told from benchmark windows.
+_START_BITS = 20
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _STOP = re.compile(r"[.!?:][^\w]*$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*%?$")
@@ -141,6 +143,10 @@ def _windowed(widths: list[int], bare: bool, known: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Templates()
+        if known is not None:
+            # Whether any known name starts with these bits: most windows need no search.
+            starts = np.zeros(1 << _START_BITS, bool)
+            starts[known >> np.uint64(64 - _START_BITS)] = True
         for batch in batches:
             rows, names, at_, slots = [], [], [], []
             for row, data in enumerate(byte_texts(batch.column("text"))):
@@ -154,7 +160,8 @@ def _windowed(widths: list[int], bare: bool, known: np.ndarray | None):
                     if known is None:
                         hit = np.arange(len(found))
                     else:
-                        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found)
+                        hit = np.flatnonzero(starts[found >> np.uint64(64 - _START_BITS)])
+                        hit = hit[known[np.minimum(np.searchsorted(known, found[hit]), len(known) - 1)] == found[hit]]
                     if not len(hit):
                         continue
                     raw = raw or [w for w, c in zip(body.split(), counts, strict=True) if c]
@@ -235,6 +242,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     hits = texts.mapInArrow(_windowed(sorted(has.widths), bool(has.bare), known), "row_key long, window long, at int, slots array<string>")
     pairs = hits.join(sized_broadcast(items.drop("bare"), 120), "window").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.where(~F.col("fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))).drop("fixed")
+    # Windows at so few places of an item cannot cover its share; such pairs, which are most, never reach Python.
+    met = pairs.groupBy("row_key", "item_id").agg(F.first("item_words").alias("item_words"), F.collect_list(F.struct("window", "at", "slots", "item_at", "item_slots")).alias("met"))
+    met = met.where(F.size(F.array_distinct("met.item_at")) * size >= F.lit(share) * F.col("item_words"))
+    pairs = met.select("row_key", "item_id", "item_words", F.explode("met").alias("m")).select("row_key", "item_id", "item_words", "m.*")
     return pairs.groupBy("row_key", "item_id").applyInPandas(_consistent(size, share), "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
 
 
