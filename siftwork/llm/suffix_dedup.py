@@ -253,12 +253,16 @@ def repeated_spans(docs: DataFrame, searches: list[Search]) -> DataFrame:
     across = F.array(*[F.lit(s.across) for s in searches])[F.col("search")]
     samples = materialize(docs.where(F.octet_length("text") >= least).mapInArrow(_samples(searches), "search int, gram long, run long, row_key long, first int, last int"), "samples")
 
-    grams = samples.groupBy("search", "gram").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"), F.min("row_key").alias("low"), F.max("row_key").alias("high"))
-    grams = materialize(grams.where(F.when(across, F.col("low") < F.col("high")).otherwise(F.col("n") > 1)).select("search", "gram", (F.col("a") != F.col("b")).alias("several")), "grams")
+    # Of all samples only what decides is shuffled: rows for ``across``, else numbers; runs are told apart among the repeated grams alone.
+    row = F.when(across, F.col("row_key"))
+    grams = samples.groupBy("search", "gram").agg(F.count("*").alias("n"), F.min(row).alias("low"), F.max(row).alias("high"))
+    grams = materialize(grams.where(F.when(across, F.col("low") < F.col("high")).otherwise(F.col("n") > 1)).select("search", "gram"), "grams")
     repeated = samples.join(sized_broadcast(grams, 24), ["search", "gram"])
-    runs = repeated.groupBy("search", "gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"), F.max("row_key").alias("high"))
+    runs = repeated.groupBy("search", "gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("m"), F.max("row_key").alias("high"))
     alone = F.when(across, F.col("m.row_key") == F.col("high")).otherwise(F.col("n") == 1)
-    runs = materialize(runs.select("search", "gram", "run", "several", "n", alone.alias("alone"), "m.*"), "runs")
+    runs = materialize(runs.select("search", "gram", "run", "n", alone.alias("alone"), "m.*"), "runs")
+    several = materialize(runs.groupBy("search", "gram").count().where("count > 1").select("search", "gram", F.lit(True).alias("several")), "several")
+    runs = materialize(runs.join(sized_broadcast(several, 24), ["search", "gram"], "left").withColumn("several", F.coalesce("several", F.lit(False))), "runs")
     # Runs that are repeated as a whole, and runs that one row alone holds several times: all their places.
     placed = samples.join(sized_broadcast(runs.where("not alone or several and n > 1").select("search", "gram", "run", "alone"), 32), ["search", "gram", "run"])
     placed = materialize(placed.select("search", "gram", "row_key", "first", "last", "alone"), "placed")
