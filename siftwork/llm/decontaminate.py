@@ -22,9 +22,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ LOOKUP = 2_000_000
 MEMORY = 300_000
 #: First bits of a window's name by which most windows are told from benchmark windows.
 _START_BITS = 20
+#: Last bits of a word's checksum by which words of no item are told from words of items.
+_WORD_BITS = 22
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _STOP = re.compile(r"[.!?:][^\w]*$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*%?$")
@@ -49,41 +51,81 @@ def _hash(word: str) -> int:
     return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
-_PLACEHOLDERS = np.array(sorted(map(_hash, (NUM, UNIT, NAME))), np.uint64)
+_SLOTS = {p: _hash(p) for p in (NUM, UNIT, NAME)}
+_PLACEHOLDERS = np.array(sorted(_SLOTS.values()), np.uint64)
+
+
+def _read(word: str) -> tuple[str, str, bool, bool]:
+    """The template word after a sentence end and inside a sentence, whether it ends a sentence, and whether it counts as a word."""
+    bare = word[:-1] if word[-1] in ".,;:!?" else word
+    if bare.isalnum():
+        # Most words: nothing else to strip.
+        stop = bare is not word and word[-1] in ".!?:"
+    else:
+        bare = _EDGE.sub("", word).rstrip("_")
+        bare = bare if bare in ("$", "€", "£", "%") else bare.strip("$€£%_") if not _NUMBER.match(bare) else bare
+        stop = bool(_STOP.search(word))
+    low = bare.lower()
+    plain = UNIT if low in UNITS else low if low.isalpha() or not _NUMBER.match(low) else NUM
+    inside = NAME if plain is low and bare[:1].isupper() and bare[1:].islower() else plain
+    return plain, inside, stop, bool(low)
+
+
+def _value(word: str) -> str:
+    """A placeholder's value, told from template words."""
+    return "\0=" + _EDGE.sub("", word).lower()
+
+
+def _checksum(word: str) -> int:
+    return crc32(word.encode()) & (1 << _WORD_BITS) - 1
 
 
 class _Templates(dict):
-    """Word bytes -> 4 * row + 2 if it ends a sentence + 1 if it counts as a word; a row: hash after a sentence end, hash inside a sentence, hash of a placeholder's value."""
+    """Word bytes -> 4 * row + 2 if it ends a sentence + 1 if it counts as a word; a row: hash after a sentence end, hash inside a sentence, hash of a placeholder's value.
+
+    ``known`` has the checksums of all words of the items: others are in no window of an item and have the hash 0.  Without ``values`` these are 0.
+    """
 
-    def __init__(self):
+    def __init__(self, known: np.ndarray | None = None, values: bool = True):
         self.rows = np.zeros((1 << 16, 3), np.uint64)
+        self.values, self.known = values, None
+        if known is not None:
+            self.known = bytearray(1 << _WORD_BITS)
+            np.frombuffer(self.known, np.uint8)[known] = 1
+            for unit in UNITS:
+                self.known[_checksum(unit)] = 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        # Words of no item are most, and share a few rows, of which the first is all zeros.
+        self.places = {(0, 0, 0): 0}
+        self.rows[0] = 0
+
+    def _hash(self, word: str) -> int:
+        return _SLOTS.get(word) or (_hash(word) if self.known is None or self.known[_checksum(word)] else 0)
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
-        if raw.isalpha() and raw.islower():
-            # Most words: nothing to strip, no number, no name, no sentence end.
-            plain = inside = UNIT if word in UNITS else word
-            marks = 1
-        else:
-            bare = _EDGE.sub("", word).rstrip("_")
-            bare = bare if bare in ("$", "€", "£", "%") else bare.strip("$€£%_") if not _NUMBER.match(bare) else bare
-            low = bare.lower()
-            plain = NUM if _NUMBER.match(low) else UNIT if low in UNITS else low
-            inside = NAME if plain == low and bare[:1].isupper() and bare[1:].islower() else plain
-            marks = 2 * bool(_STOP.search(word)) + bool(low)
-        i = len(self)
+        bare = word[:-1] if word[-1] in ".,;:!?" else word
+        if self.known is not None and bare.islower() and bare.isalpha() and not self.known[_checksum(bare.lower())]:
+            # Most words that are new: in lower case and of no item.
+            self[raw] = found = 3 if word[-1] in ".!?:" else 1
+            return found
+        plain, inside, stop, counts = _read(word)
+        first = self._hash(plain)
+        row = first, first if inside is plain else self._hash(inside), self._hash(_value(word)) if self.values and inside in _SLOTS else 0
+        i = len(self) + 1 if self.known is None else self.places.setdefault(row, len(self.places))
         if i == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[i, 0] = first = _hash(plain)
-        self.rows[i, 1] = first if inside is plain else _hash(inside)
-        self.rows[i, 2] = _hash("\0=" + _EDGE.sub("", word).lower()) if inside in (NUM, UNIT, NAME) else 0
-        self[raw] = found = 4 * i + marks
+        self.rows[i] = row
+        self[raw] = found = 4 * i + 2 * stop + counts
         return found
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hashes of a text's words that are not punctuation alone, which words those are, and their rows."""
         if len(self) > MEMORY:
-            self.clear()
+            self.forget()
         raw = data.split()
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         counts = (at & 1).astype(bool)
@@ -138,11 +180,21 @@ def _item_windows(size: int):
     return run
 
 
-def _windowed(widths: list[int], bare: bool, known: np.ndarray | None):
-    """The windows of each text of the widths that items have, those in ``known`` if it is given; ``bare``: items have windows of placeholders alone."""
+def _item_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checksums of all template words and values of the items."""
+    for batch in batches:
+        found = set()
+        for data in byte_texts(batch.column("text")):
+            for word in map(bytes.decode, data.tobytes().split()):
+                found.update(map(_checksum, (*_read(word)[:2], _value(word))))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["word"])
+
+
+def _windowed(widths: list[int], bare: bool, known: np.ndarray | None, words: np.ndarray | None):
+    """The windows of each text of the widths that items have, those in ``known`` of ``words`` if they are given; ``bare``: items have windows of placeholders alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Templates()
+        memory = _Templates(words, bare)
         if known is not None:
             # Whether any known name starts with these bits: most windows need no search.
             starts = np.zeros(1 << _START_BITS, bool)
@@ -178,45 +230,56 @@ def _windowed(widths: list[int], bare: bool, known: np.ndarray | None):
     return run
 
 
+def _judged(met: list[dict], n: int, size: int, share: float) -> tuple[int, float, bool] | None:
+    """n_windows, coverage, reparameterised of one text and one item of n words: their matched windows, judged over the whole text and round each alignment, the best of which counts."""
+    item_at = [w["item_at"] for w in met]
+    pairs = [list(zip(w["item_slots"], w["slots"], strict=True)) for w in met]
+
+    def covered(which) -> int:
+        return len({i for at in {item_at[w] for w in which} for i in range(at, min(at + size, n))})
+
+    def agreed(which, already: dict) -> dict:
+        votes: dict[str, Counter] = defaultdict(Counter)
+        for w in which:
+            for a, b in pairs[w]:
+                if a not in already:
+                    votes[a][b] += 1
+        return already | {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+
+    def judged(first, among) -> tuple[int, bool, int]:
+        """Words covered, whether no slot is changed, and the windows that agree: slots go by ``first``, those it lacks by the rest."""
+        map_ = agreed(first, {})
+        map_ = agreed([w for w in among if all(map_.get(a, b) == b for a, b in pairs[w])], map_)
+        keep = [w for w in among if all(map_[a] == b if a in map_ else False for a, b in pairs[w])]
+        return covered(keep), all(a == b for w in keep for a, b in pairs[w]), len(keep)
+
+    whole = range(len(pairs))
+    if covered(whole) < share * n:
+        return None
+    best = judged(whole, whole)
+    offsets = np.array([w["at"] for w in met]) - np.array(item_at)
+    if best[:2] != (n, True) and offsets.min() != offsets.max():
+        order = np.argsort(offsets, kind="stable")
+        placed = offsets[order]
+        for o in np.unique(offsets).tolist():
+            cut = np.searchsorted(placed, [o - n, o, o + 1, o + n + 1])
+            best = max(best, judged(order[cut[1] : cut[2]].tolist(), order[cut[0] : cut[3]].tolist()))
+    return None if best[0] < share * n else (best[2], best[0] / n, not best[1])
+
+
 def _consistent(size: int, share: float):
-    """One text and one item: their matched windows, judged over the whole text and round each alignment, the best of which counts."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        pairs = [list(zip(a, b, strict=False)) for a, b in zip(group["item_slots"], group["slots"], strict=True)]
-        n, item_at = int(group["item_words"].iloc[0]), group["item_at"].tolist()
-
-        def covered(which) -> int:
-            return len({i for at in {item_at[w] for w in which} for i in range(at, min(at + size, n))})
-
-        def agreed(which, already: dict) -> dict:
-            votes: dict[str, Counter] = defaultdict(Counter)
-            for w in which:
-                for a, b in pairs[w]:
-                    if a not in already:
-                        votes[a][b] += 1
-            return already | {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-
-        def judged(first, among) -> tuple[int, bool, int]:
-            """Words covered, whether no slot is changed, and the windows that agree: slots go by ``first``, those it lacks by the rest."""
-            map_ = agreed(first, {})
-            map_ = agreed([w for w in among if all(map_.get(a, b) == b for a, b in pairs[w])], map_)
-            keep = [w for w in among if all(map_[a] == b if a in map_ else False for a, b in pairs[w])]
-            return covered(keep), all(a == b for w in keep for a, b in pairs[w]), len(keep)
-
-        whole = range(len(pairs))
-        if covered(whole) < share * n:
-            return pd.DataFrame()
-        best = judged(whole, whole)
-        offsets = group["at"].to_numpy() - group["item_at"].to_numpy()
-        if best[:2] != (n, True) and offsets.min() != offsets.max():
-            order = np.argsort(offsets, kind="stable")
-            placed = offsets[order]
-            for o in np.unique(offsets).tolist():
-                cut = np.searchsorted(placed, [o - n, o, o + 1, o + n + 1])
-                best = max(best, judged(order[cut[1] : cut[2]].tolist(), order[cut[0] : cut[3]].tolist()))
-        if best[0] < share * n:
-            return pd.DataFrame()
-        return pd.DataFrame({"row_key": [group["row_key"].iloc[0]], "item_id": [group["item_id"].iloc[0]], "n_windows": [best[2]], "coverage": [best[0] / n], "reparameterised": [not best[1]]}).astype({"item_id": "Int64"})
+    """The texts and items whose matched windows, an array in each row, agree on enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_judged(met.as_py(), n, size, share) for met, n in zip(batch.column("met"), batch.column("item_words").to_pylist(), strict=True)]
+            at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            columns = list(zip(*filter(None, found), strict=True)) or [(), (), ()]
+            kinds = [pa.int64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key").take(at), batch.column("item_id").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["row_key", "item_id", "n_windows", "coverage", "reparameterised"],
+            )
 
     return run
 
@@ -235,18 +298,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     names = items.select("window").distinct()
     # 8 bytes a window, by Arrow; LOOKUP bounds them.
     known = np.sort(names.toArrow().column(0).to_numpy().view(np.uint64)) if names.limit(LOOKUP + 1).count() <= LOOKUP else None
+    # 4 bytes a checksum, of which there are 4 million.
+    words = None if known is None else benchmark.select(F.col("text").cast("string").alias("text")).mapInArrow(_item_checksums, "word int").distinct().toArrow().column(0).to_numpy()
     if items.limit(1).count() == 0:
         return spark.createDataFrame([], "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
     texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(F.col("_row_key").alias("row_key"), "text")
     has = items.agg(F.collect_set(F.least("item_words", F.lit(size))).alias("widths"), F.max("bare").alias("bare")).first()
-    hits = texts.mapInArrow(_windowed(sorted(has.widths), bool(has.bare), known), "row_key long, window long, at int, slots array<string>")
+    hits = texts.mapInArrow(_windowed(sorted(has.widths), bool(has.bare), known, words), "row_key long, window long, at int, slots array<string>")
     pairs = hits.join(sized_broadcast(items.drop("bare"), 120), "window").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.where(~F.col("fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))).drop("fixed")
     # Windows at so few places of an item cannot cover its share; such pairs, which are most, never reach Python.
     met = pairs.groupBy("row_key", "item_id").agg(F.first("item_words").alias("item_words"), F.collect_list(F.struct("window", "at", "slots", "item_at", "item_slots")).alias("met"))
     met = met.where(F.size(F.array_distinct("met.item_at")) * size >= F.lit(share) * F.col("item_words"))
-    pairs = met.select("row_key", "item_id", "item_words", F.explode("met").alias("m")).select("row_key", "item_id", "item_words", "m.*")
-    return pairs.groupBy("row_key", "item_id").applyInPandas(_consistent(size, share), "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
+    return met.mapInArrow(_consistent(size, share), "row_key long, item_id long, n_windows long, coverage double, reparameterised boolean")
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:

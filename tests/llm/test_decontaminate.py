@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwork.llm import decontaminate as dc
@@ -115,3 +117,23 @@ def test_against_brute_force(spark, monkeypatch, limit):
     found = dc.with_leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id): round(r.coverage, 9) for r in found} == wanted and len(wanted) > 20
     assert not any(r.reparameterised for r in found)
+
+
+def test_words_of_no_item_are_not_hashed(monkeypatch):
+    """New words that no item has share rows and are never hashed; the windows found are those without the words' checksums."""
+    rng = random.Random(3)
+    items = [ITEM, "12 7 3 55 2 9 11 4", "Short item."]
+    new = ["".join(rng.choice("abcdéñyz") for _ in range(9)) + rng.choice(["", "", ",", ".", "!"]) for _ in range(4000)]
+    texts = [" ".join(new[k : k + 400] + ITEM.split() + new[k + 50 : k + 60] + ["Q" + w for w in new[k : k + 9]] + ["row 12 7 3 55 2 9 11 4 and a short item"]) for k in range(0, 4000, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(items))), pa.array(items)], names=["item_id", "text"])
+    known = np.unique(np.concatenate([b.column("window").to_numpy() for b in dc._item_windows(5)([batch])]).view(np.uint64))
+    words = np.concatenate([b.column("word").to_numpy() for b in dc._item_checksums([batch])])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row_key", "text"])
+    hashed, plain = [], dc._hash
+    monkeypatch.setattr(dc, "_hash", lambda word: hashed.append(word) or plain(word))
+    for bare in (False, True):
+        hashed.clear()
+        found = [b.to_pydict() for b in dc._windowed([2, 5], bare, known, words)([docs])]
+        assert len(hashed) < 100
+        assert found == [b.to_pydict() for b in dc._windowed([2, 5], bare, known, None)([docs])] and len(found[0]["at"]) > 200
+        assert len(hashed) > 4000
