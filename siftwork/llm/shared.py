@@ -22,6 +22,8 @@ _powers: dict[int, np.ndarray] = {}
 
 #: Rows of an Arrow batch at most; whole texts travel in one, in the JVM and in Python.
 BATCH_ROWS = 500
+#: Bits of one piece of a bitmap, as Spark builds them.
+_PIECE = 1 << 15
 #: Broadcast sides may hold at most this many bytes; larger sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -126,3 +128,17 @@ def sized_broadcast(side: DataFrame, row_bytes: int | Column, most: int = BROADC
         limit = most // row_bytes
         small = side.limit(limit + 1).count() <= limit
     return F.broadcast(side) if small else side
+
+
+def held_by(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with the column ``maybe``: true for rows whose hash in ``key`` is among those of keys, and for about 1 in 16 of the others.
+
+    A bitmap of 16 bits a key, BROADCAST_BYTES at most (beyond that more rows are true), is built by Spark and broadcast in pieces.
+    """
+    bits = 1 << min(max(16 * keys.count(), _PIECE) - 1, 8 * BROADCAST_BYTES // 2).bit_length()
+    at = F.pmod(F.col(key), F.lit(bits))
+    piece, place = (at / _PIECE).cast("int"), (at % _PIECE).cast("int")
+    pieces = keys.select(piece.alias("_piece"), place.alias("_place")).groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, place.bitwiseAND(7)) == 1, F.lit(False))
+    return df.withColumn("_piece", piece).join(F.broadcast(pieces), "_piece", "left").withColumn("maybe", maybe).drop("_piece", "_bits")

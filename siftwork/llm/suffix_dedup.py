@@ -15,7 +15,8 @@ positions where a residue cover for 400 bytes needs 1/17 and triples 2/3.
    member for each run name.
 4. Merge the remaining suffixes: members of a gram meet, and every window of
    their runs is named; equal names mark repeated windows.
-5. Removed bytes are the union of repeated windows; texts get them by row key.
+5. Removed bytes are the union of repeated windows; texts get them by row key,
+   and texts without any stay where they are.
 
 The same scheme runs over words instead of bytes (``unit="words"``), so that
 passages of a number of words are found whatever their length in bytes, and
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, materialize, mix, prefix_hashes, signed, sized_broadcast, small_batches, span_hashes, word_hashes
+from .shared import byte_texts, held_by, materialize, mix, prefix_hashes, signed, sized_broadcast, small_batches, span_hashes, word_hashes
 
 #: Symbols of a gram at most, by the unit of strings; shorter strings have grams of half their length.
 GRAM = {"bytes": 64, "words": 8}
@@ -49,7 +50,7 @@ STRETCH = 8 << 20
 GROUP_RUNS = 20_000
 #: Runs that are put together for one vectorised comparison.
 BATCH_BYTES = 4 << 20
-#: Places and spans up to this size go to the texts; more, and texts and they are shuffled by row.
+#: Places and spans up to this size go to the texts; more, and they and the texts that have any are shuffled by row.
 SIDE_BYTES = 1 << 20
 
 
@@ -271,7 +272,7 @@ def repeated_spans(docs: DataFrame, searches: list[Search]) -> DataFrame:
     members = runs.where("several and (not alone or n = 1)").select("search", "gram", "row_key", "first", "last", "alone").unionByName(placed.where("alone"))
     frequent = materialize(members.groupBy("search", "gram").count().where(F.col("count") > GROUP_RUNS).select("search", "gram", F.lit(True).alias("frequent")), "frequent")
     places = materialize(members.groupBy("row_key").agg(F.collect_list(F.struct("search", "gram", "first", "last", "alone")).alias("places")), "places")
-    texts = docs.join(sized_broadcast(places, 40 + 28 * F.size("places"), SIDE_BYTES), "row_key")
+    texts = _joined(docs, places, "places", 28)
     # Of repeated rows no run is alone in bytes, and for ``across`` they are one row, so their bodies may stand there twice.
     bodies = texts.select("row_key", "text", "places").mapInArrow(_contexts(searches), "search int, gram long, row_key long, first int, alone boolean, body binary")
     some = frequent.limit(1).count()
@@ -288,10 +289,23 @@ def repeated_spans(docs: DataFrame, searches: list[Search]) -> DataFrame:
     return spans
 
 
-def _by_row(docs: DataFrame, searches: list[Search]) -> DataFrame:
-    """row_key, spans: the repeated spans of each text as an array."""
-    spans = repeated_spans(docs, searches).groupBy("row_key").agg(F.collect_set(F.struct("search", "start", "end")).alias("spans"))
-    return sized_broadcast(materialize(spans, "spans"), 40 + 20 * F.size("spans"), SIDE_BYTES)
+def _joined(docs: DataFrame, side: DataFrame, array: str, width: int, how: str = "inner") -> DataFrame:
+    """docs with the arrays (``width`` bytes an entry) that side(row_key, array) has for their rows; only docs that a bitmap does not tell apart from these are shuffled."""
+    small = sized_broadcast(side, 40 + width * F.size(array), SIDE_BYTES)
+    if small is not side:
+        return docs.join(small, "row_key", how)
+    docs = held_by(docs, side.select("row_key"), "row_key")
+    joined = docs.where("maybe").drop("maybe").join(side, "row_key", how)
+    if how == "inner":
+        return joined
+    others = docs.where("not maybe").drop("maybe").withColumn(array, F.lit(None).cast(side.schema[array].dataType))
+    return joined.unionByName(others)
+
+
+def _with_spans(docs: DataFrame, searches: list[Search]) -> DataFrame:
+    """docs with spans: the repeated spans of each text as an array, or null."""
+    spans = repeated_spans(docs.select("row_key", "text"), searches).groupBy("row_key").agg(F.collect_set(F.struct("search", "start", "end")).alias("spans"))
+    return _joined(docs, materialize(spans, "spans"), "spans", 20, "left")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -305,9 +319,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, shared_words: int = 50) -
     """
     small_batches(docs.sparkSession)
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    texts = docs.select("row_key", "text")
-    spans = _by_row(texts, [Search(length), Search(shared_words, "words", across=True)])
-    return docs.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, kept binary")
+    searches = [Search(length), Search(shared_words, "words", across=True)]
+    return _with_spans(docs, searches).select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -315,8 +328,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     small_batches(docs.sparkSession)
     columns, kinds = docs.columns, dict(docs.dtypes)
     plain = _keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")))
-    spans = _by_row(plain.select("row_key", "text"), [Search(length)])
-    joined = plain.join(spans, "row_key", "left").select("whole", "text", "spans")
+    joined = _with_spans(plain, [Search(length)]).select("whole", "text", "spans")
     schema = docs.sparkSession.createDataFrame([], f"whole {joined.schema['whole'].dataType.simpleString()}, new_text string").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
